@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quillbook.llm import packing, sharding
+from quillbook.llm import langid, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_stratified_shards": sharding.op1_stratified_shards,
+    "op2_divergence_rules": quality.op2_divergence_rules,
+    "op4_credential_links": secrets.op4_credential_links,
+    "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 ORACLES = {
     "op1_stratified_shards": sharding.OP1_SQL,
+    "op2_divergence_rules": quality.OP2_SQL,
 }

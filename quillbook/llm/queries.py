@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quillbook.llm import decontamination, extraction, langid, packing, quality, secrets, sharding
+from quillbook.llm import decontamination, extraction, langid, neardup, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_stratified_shards": sharding.op1_stratified_shards,
     "op2_divergence_rules": quality.op2_divergence_rules,
     "op3_boosted_extraction": extraction.op3_boosted_extraction,
     "op4_credential_links": secrets.op4_credential_links,
+    "op5_dart_minhash": neardup.op5_dart_minhash,
     "op7_benchmark_hits": decontamination.op7_benchmark_hits,
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,

@@ -198,7 +198,7 @@ def searched(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:
     """One row for each document and benchmark item (item_id, text) that it contains, as `searched` gives them. Null and
     wordless texts, of documents or items, are never retrieved; an item_id that occurs twice is two items."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
@@ -211,7 +211,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
         rows = [(r[0], r[1]) for r in items.where(mine).orderBy("item_id", "text").collect()]
         own = {r[0]: r[1] for r in frequency.join(words.where(mine).select("term").distinct(), "term").collect()}
         own = _Frequencies(own)
-        part = searched(docs, Index(rows, own, n, n_terms / max(n, 1)))
+        part = searched(docs, Index(rows, own, n, n_terms / max(n, 1)), id_col)
         found = part if found is None else found.unionAll(part)
     return found
 

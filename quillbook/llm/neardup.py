@@ -6,9 +6,9 @@ Each dart falls to one of K coordinates, and the one of least rank is that coord
 coordinate with the probability of their weighted Jaccard similarity; the rank bound shrinks with a set's total weight, so
 the work per text is about K log K darts plus its size.
 
-Texts that are equal are one node. In each bucket of a band the nodes are compared with one of them (picked by a hash that
-differs by band), never all with all; those too far from it are compared anew, first again, then in finer buckets made of
-further bands, until no bucket holds two unconnected nodes that no comparison has reached.
+Texts that are equal are one node. In each bucket of a band the nodes are compared with one of them, the least by a hash,
+so a large group of copies is connected by a few stars. Groups of candidates that this leaves in several
+pieces are compared in full, piece against piece, in bounded units that give no pairs but the links that join pieces.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SIMILARITY = 0.8
 SHINGLE = 5
-#: Rounds of plain comparisons before buckets are made finer.
-PLAIN_ROUNDS = 2
+#: Nodes in a chunk of a group that is compared all with all; a unit of two chunks is held by one task.
+CHUNK = 256
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 _U = np.uint64
 
@@ -135,44 +135,96 @@ def compared(pairs: DataFrame) -> DataFrame:
                 near.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, near boolean")
-
-
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Edges (a, b) between nodes (node, bands) of similarity SIMILARITY or more, enough of them to connect all that are
-    connected. texts (node, text) is asked for the nodes of candidates only. None: no candidates."""
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
+
+
+def alike(texts: list[bytes], columns: int = 4096) -> np.ndarray:
+    """Which of these texts are similar enough (a square matrix): exact, by products of slices of their incidence matrix.
+    Shingles of one text only add nothing to an intersection and are left out of it."""
+    element, doc, _ = shingle_sets(texts, SHINGLE)
+    size = np.bincount(doc, minlength=len(texts)).astype(np.float64)
+    _, back, n = np.unique(element, return_inverse=True, return_counts=True)
+    shared = n[back] > 1
+    number = np.cumsum(n > 1) - 1
+    doc, back = doc[shared], number[back[shared]]
+    order = np.argsort(back, kind="stable")
+    doc, back = doc[order], back[order]
+    both = np.zeros((len(texts), len(texts)))
+    for lo in range(0, int((n > 1).sum()), columns):
+        at = slice(*np.searchsorted(back, [lo, lo + columns]))
+        part = np.zeros((len(texts), columns), dtype=np.float32)
+        part[doc[at], back[at] - lo] = 1
+        both += part @ part.T
+    return both >= SIMILARITY * (size[:, None] + size - both)
+
+
+def linked_in_units(members: DataFrame) -> DataFrame:
+    """Edges among the texts of each unit (unit, node, label, text) that join different labels, as few as connect them."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        nodes, labels = unit.column("node").to_pylist(), unit.column("label").to_pylist()
+        top = {x: x for x in labels}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        near, out = alike([t.encode() for t in unit.column("text").to_pylist()]), []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
+            x, y = root(labels[i]), root(labels[j])
+            if x != y:
+                top[x] = y
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+        columns = list(zip(*out, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return members.select("unit", "node", "label", "text").groupBy("unit").applyInArrow(run, "a long, b long")
+
+
+def open_groups(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """node, unit and label for what one comparison with each bucket's pick leaves open.
+
+    Nodes that candidate pairs connect are a group. A group is settled if its links connect all of it, or if it has two
+    nodes. The others are cut into chunks of about CHUNK nodes, large components into chunks of their own, and each two
+    chunks that hold different components make a unit, where all are compared with all in one matrix product.
+    """
+    group = components(pairs).withColumnRenamed("label", "g")
+    label = components(near)
+    both = cut(group.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "grouped")
+    groups = both.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and n > 2").select("g")
+    both = both.join(groups, "g", "left_semi")
+    parts = both.groupBy("g", "label").agg(F.count(F.lit(1)).alias("size"))
+    small = parts.groupBy("g").agg(F.sum(F.when(F.col("size") < CHUNK, F.col("size")).otherwise(0)).alias("small"))
+    parts = parts.join(small, "g").withColumn("own", F.col("size") >= CHUNK)
+    parts = parts.select("g", "label", "own", F.ceil(F.when(F.col("own"), F.col("size")).otherwise(F.greatest("small", F.lit(1))) / CHUNK).alias("cuts"))
+    dealt = both.join(parts, ["g", "label"])
+    chunk = F.when(F.col("own"), F.xxhash64("label", F.pmod(F.xxhash64("node"), "cuts"))).otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("label"), "cuts")))
+    dealt = cut(dealt.select("g", "node", "label", chunk.alias("chunk"), F.when(F.col("own"), F.col("label")).alias("pure")), "chunks")
+    chunks_ = dealt.select("g", "chunk", "pure").distinct()
+    other = chunks_.select("g", F.col("chunk").alias("chunk 2"), F.col("pure").alias("pure 2"))
+    # two chunks of one component are settled between them; a mixed chunk is a unit with itself as well
+    units = chunks_.join(other, "g").where((F.col("chunk") <= F.col("chunk 2")) & ~F.coalesce(F.col("pure") == F.col("pure 2"), F.lit(False)))
+    units = units.select("g", F.xxhash64("g", "chunk", "chunk 2").alias("unit"), F.explode(F.array_distinct(F.array("chunk", "chunk 2"))).alias("chunk"))
+    return dealt.join(units, ["g", "chunk"]).select("node", "unit", "label")
+
+
+def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes (node, bands) of similarity SIMILARITY or more that share a band: enough of them to
+    connect all that are connected. texts (node, text) is asked for the nodes of candidates only."""
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node")
-    found, seen, turn, kept_texts = None, None, 0, None
-    while True:
-        order = F.struct(F.xxhash64("key", "node").alias("o"), "node")
-        picks = buckets.groupBy("key").agg(F.min(order).alias("pick"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("pick.node").alias("a"))
-        rows = cut(buckets.join(picks, "key").where("a <> node").select("key", "a", F.col("node").alias("b")), "candidates")
-        pairs = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if rows.isEmpty():
-            return found
-        if kept_texts is None:
-            wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            kept_texts = cut(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-        with_a = pairs.join(kept_texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        with_both = with_a.join(kept_texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        checked = cut(compared(with_both), "compared")
-        seen = checked if seen is None else seen.union(checked)
-        found = seen.where("near").select("a", "b")
-        far = rows.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("node")).join(seen.where("not near"), ["a", "b"]).select("key", "node")
-        if far.isEmpty():
-            return found
-        labels = components(found)
-        far = far.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = far.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        far = far.join(split, "key", "left_semi").select("key", "node")
-        turn += 1
-        if turn >= PLAIN_ROUNDS:
-            finer = far.join(nodes, "node").select("key", "node", F.posexplode("bands").alias("band", "h"))
-            far = finer.select(F.xxhash64("key", "band", "h").alias("key"), "node")
-        buckets = cut(far, "buckets")
+    order = F.struct(F.xxhash64("node").alias("o"), "node")  # one order for all bands: most of a node's picks are the same
+    picks = buckets.groupBy("key").agg(F.min(order).alias("pick"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("pick.node").alias("pick"))
+    pairs = buckets.join(picks, "key").where("pick <> node").select(F.least("pick", "node").alias("a"), F.greatest("pick", "node").alias("b")).distinct()
+    pairs = cut(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = cut(texts(wanted), "texts")
+    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    near = cut(compared(with_both).where("near").select("a", "b"), "near")
+    members = open_groups(pairs, near).join(texts, "node")
+    return cut(near.union(linked_in_units(members)), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,20 +235,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null texts are alike only in rows of the same id. Null ids are never the smallest, unless a class has no other.
     """
     found = cut(sketched(docs, id_col, text_col), "sketches")
-    nodes = cut(found.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "nodes")
-    texts = docs.select(text_key(F.col(text_col), F.col(id_col)).alias("node"), F.col(text_col).alias("text"))
-    edges = links(nodes.select("node", "bands"), texts)
-    sized = nodes.select("node", "least", "n")
-    if edges is not None:
-        labels = components(edges)
-        with_label = labels.join(sized, "node")
-        smallest = with_label.groupBy("label").agg(F.min("least").alias("class_id"))
-        linked = with_label.select("node", "label").join(smallest, "label").select("node", "class_id")
-        sized = sized.join(linked, "node", "left").withColumn("least", F.coalesce("class_id", "least"))
-        several = sized.where("n > 1 or class_id is not null")
-    else:
-        several = sized.where("n > 1")
-    out = found.select("id", "node").join(several.select("node", F.col("least").alias("class_id")), "node", "left")
+    by_text = found.groupBy(F.col("node").alias("text_key")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(by_text.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    key = text_key(F.col(text_col), F.col(id_col))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        # one row of each wanted text, so that copies don't meet: the row of the smallest id
+        asked = nodes.join(wanted, "node", "left_semi").select("node", "text_key", "least")
+        rows = docs.select(key.alias("text_key"), F.col(id_col).alias("least"), F.col(text_col).alias("text"))
+        return rows.join(asked, (rows.text_key == asked.text_key) & rows.least.eqNullSafe(asked.least)).select("node", "text").dropDuplicates(["node"])
+
+    labels = components(links(nodes.select("node", "bands"), texts))
+    sized = nodes.select("node", "text_key", "least", "n")
+    with_label = labels.join(sized, "node")
+    smallest = with_label.groupBy("label").agg(F.min("least").alias("class_id"))
+    linked = with_label.select("node", "label").join(smallest, "label").select("node", "class_id")
+    sized = sized.join(linked, "node", "left").where("n > 1 or class_id is not null")
+    classes = sized.select(F.col("text_key").alias("node"), F.coalesce("class_id", "least").alias("class_id"))
+    out = found.select("id", "node").join(classes, "node", "left")
     return out.select("id", "node", F.coalesce("class_id", "id").alias("class_id"))
 
 

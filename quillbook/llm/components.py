@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by smallest labels and pointer jumping."""
+"""Connected components of an edge table, by random hooking and contraction."""
 
 from __future__ import annotations
 
@@ -9,16 +9,26 @@ from quillbook.llm.common import cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and label (the smallest node of its component) for every node of an edge. Each round hooks every node to the
-    smallest label around it and then jumps to that label's label, so rounds grow with the logarithm of the diameter.
-    A node with very many edges is a hot key of plain equi-joins, which adaptive execution splits."""
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).where("x <> y").distinct(), "edges")
-    labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(around, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("over"))
-        moved = cut(hooked.join(jump, "next", "left").select("node", F.least("next", "over").alias("label"), (F.least("next", "over") < F.col("label")).alias("moved")), "labels")
-        labels = moved.select("node", "label")
-        if moved.where("moved").isEmpty():
-            return labels
+    """node and label, equal for the nodes of a component, for every node of an edge.
+
+    Each round maps every node to the one of smallest hash (another hash each round) among itself and its neighbours, and
+    goes on with the images of the edges, loops and repeats left out. That keeps components apart and together, and leaves
+    a fraction of the nodes, so rounds grow with the logarithm of the size. A node with very many edges is a hot key of
+    plain equi-joins, which adaptive execution splits, and is gone after a round or two.
+    """
+    side = lambda e, x, y: e.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    rest = cut(side(edges, a, b).union(side(edges, b, a)).where("x <> y").distinct(), "edges")
+    maps: list[DataFrame] = []
+    while not rest.isEmpty():
+        order = lambda c, k=len(maps): F.struct(F.xxhash64(F.lit(k), c).alias("o"), F.col(c).alias("n"))
+        hook = rest.groupBy("x").agg(F.least(F.min(order("y")), F.first(order("x")))["n"].alias("to"))
+        hook = cut(hook.select(F.col("x").alias("node"), "to"), "hooks")
+        half = rest.join(hook.withColumnRenamed("node", "x"), "x").select(F.col("to").alias("x"), "y").distinct()
+        rest = cut(half.join(hook.withColumnRenamed("node", "y"), "y").select("x", F.col("to").alias("y")).where("x <> y").distinct(), "edges")
+        maps.append(hook)
+    if not maps:
+        return edges.select(F.col(a).alias("node"), F.col(a).alias("label")).limit(0)
+    out = maps[0].withColumnRenamed("to", "label")
+    for hook in maps[1:]:
+        out = out.join(hook.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(out, "labels")

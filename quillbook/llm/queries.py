@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillbook.llm import decontamination, extraction, langid, neardup, packing, quality, secrets, sharding
+from quillbook.llm import decontamination, extraction, langid, neardup, packing, quality, relative_lz, secrets, sharding, suffixes
 
 QUERIES = {
     "op1_stratified_shards": sharding.op1_stratified_shards,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_boosted_extraction": extraction.op3_boosted_extraction,
     "op4_credential_links": secrets.op4_credential_links,
     "op5_dart_minhash": neardup.op5_dart_minhash,
+    "op6_induced_suffixes": suffixes.op6_induced_suffixes,
     "op7_benchmark_hits": decontamination.op7_benchmark_hits,
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_relative_lz": relative_lz.op10_relative_lz,
 }
 ORACLES = {
     "op1_stratified_shards": sharding.OP1_SQL,

@@ -54,7 +54,7 @@ def parse(block: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return places[start], length, at[start]
 
 
-def elsewhere(block: np.ndarray, sizes: np.ndarray, low: np.ndarray) -> np.ndarray:
+def elsewhere(block: np.ndarray, sizes: np.ndarray, low: np.ndarray, route: np.ndarray) -> np.ndarray:
     """1 for each window of each segment that lies within a factor, else 0."""
     start, length, _ = parse(block, sizes)
     wins = sizes - WINDOW + 1
@@ -65,9 +65,8 @@ def elsewhere(block: np.ndarray, sizes: np.ndarray, low: np.ndarray) -> np.ndarr
     return (np.cumsum(inside)[places] > 0).astype(np.int64)
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    values, doc = word_hashes(texts)
-    return values, doc, values
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return word_hashes(texts)
 
 
 def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -78,7 +77,7 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = distinct_texts(docs, "id", "text")
-    units = Units(WINDOW, 6, _words, "<u8", within=True)
+    units = Units(WINDOW, 6, "<u8", _words, lambda w: window_hashes(w, 6), lambda w: window_hashes(w, WINDOW), within=True)
     found = shared_windows(texts, units, elsewhere, lambda there, ids, times: (there > 0) | (times > 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,31 +30,27 @@ from quillbook.llm.neardup import text_key
 from quillbook.llm.shingles import chunks, mix
 
 HOT = 1000
-CHUNK_BYTES = 4_000_000
-SHARD_BYTES = 16_000_000
+CHUNK_BYTES = 2_000_000
+#: Bytes of all texts for each shard; what repeats of them is a shard's share, in memory at once.
+SHARD_BYTES = 4_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
 @dataclass(frozen=True)
 class Units:
-    """How texts are read: `sequence(texts)` gives the units of all texts in a row (uint64 hashes or codes), the text of
-    each, and their raw form for segments (an array of `raw` dtype, one element a unit)."""
+    """How texts are read. `sequence(texts)` gives the units of all texts in a row (an array of dtype `raw`) and the text
+    of each; `parts(units)` a hash of each k units and `content(units)` of each window, both uint64 and well mixed above
+    the lowest 16 bits; `within` says whether windows that repeat within one text only are asked for."""
 
     window: int
     k: int
-    sequence: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
     raw: str
-    #: Whether windows that repeat within one text only are asked for.
+    sequence: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    parts: Callable[[np.ndarray], np.ndarray]
+    content: Callable[[np.ndarray], np.ndarray]
     within: bool
 
 
-def sums_of(values: np.ndarray, n: int, up: np.ndarray, down: np.ndarray) -> np.ndarray:
-    """A hash of each n consecutive values, by prefix sums of a polynomial modulo 2**64."""
-    with np.errstate(over="ignore"):
-        s = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
-        return mix((s[n:] - s[:-n]) * down[: len(values) - n + 1])
-
-
 def least_in_windows(h: np.ndarray, w: int) -> np.ndarray:
     """The least of each w consecutive hashes."""
     out, width = h, 1
@@ -65,36 +61,37 @@ def least_in_windows(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchored(units: Units, texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor hash: start (of the first window, in units), count, hash, text; besides values, raw
-    form and text of each unit."""
-    from quillbook.llm.shingles import powers
-
-    values, doc, raw = units.sequence(texts)
+    """Runs of windows with one anchor hash: start (of the first window, in units), count, hash, doc (the text's number),
+    again (the anchor is twice in the run); besides the units and their texts."""
+    raw, unit_doc = units.sequence(texts)
     w = units.window - units.k + 1
-    empty = np.empty(0, dtype=np.int64)
-    if len(values) < units.window:
-        return {"start": empty, "count": empty, "hash": empty.astype(np.uint64), "doc": empty, "raw": raw, "unit_doc": doc, "values": values, "again": empty.astype(bool)}
-    up, down = powers(len(values) + 1)
-    parts = sums_of(values, units.k, up, down)
+    if len(raw) < units.window:
+        none = np.empty(0, dtype=np.int64)
+        return {"start": none, "count": none, "hash": none.astype(np.uint64), "doc": none, "again": none.astype(bool), "raw": raw, "unit_doc": unit_doc}
+    parts = units.parts(raw)
     least = least_in_windows(parts, w)
-    inside = doc[: len(least)] == doc[units.window - 1 :][: len(least)]
-    at = np.flatnonzero(inside)
-    h, d = least[at], doc[at]
-    new = np.ones(len(at), dtype=bool)
-    # a run ends where the anchor changes, and after w windows, so that a segment is never longer than two windows
-    new[1:] = (h[1:] != h[:-1]) | (at[1:] != at[:-1] + 1) | (d[1:] != d[:-1])
-    first = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    place = np.arange(len(at)) - first[run]
-    new |= place % w == 0
+    n = len(least)
+    inside = unit_doc[:n] == unit_doc[units.window - 1 :][:n]
+    # a run ends where the anchor or the text changes; cut into pieces of at most w windows, a segment is under two windows
+    new = np.ones(n, dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]) | (unit_doc[1:n] != unit_doc[: n - 1])
     first = np.flatnonzero(new)
-    start, count, again = at[first], np.diff(np.append(first, len(at))), np.zeros(len(first), dtype=bool)
-    if units.within and len(first):  # whether the anchor is twice in one run, as in stretches that repeat at once
+    count = np.diff(np.append(first, n))
+    first, count = first[inside[first]], count[inside[first]]
+    pieces = -(-count // w)
+    k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start, rest = np.repeat(first, pieces) + k * w, np.repeat(count, pieces) - k * w
+    count, h, again = np.minimum(rest, w), least[start], np.zeros(len(start), dtype=bool)
+    if units.within and len(start):  # as in stretches that repeat at once
         size = count + w - 1
         flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-        hits = (parts[flat] == np.repeat(h[first], size)).astype(np.int64)
-        again = np.add.reduceat(hits, np.cumsum(size) - size) > 1
-    return {"start": start, "count": count, "hash": h[first], "doc": d[first], "raw": raw, "unit_doc": doc, "values": values, "again": again}
+        again = np.add.reduceat((parts[flat] == np.repeat(h, size)).astype(np.int64), np.cumsum(size) - size) > 1
+    return {"start": start, "count": count, "hash": h, "doc": unit_doc[start], "again": again, "raw": raw, "unit_doc": unit_doc}
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    """Anchors are least hashes, so their high bits are small: middle bits choose the shard."""
+    return ((h >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -146,7 +143,7 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _answered(replies: DataFrame, per_home: Callable[[list[bytes]], list[tuple[bytes, bytes]]]) -> DataFrame:
-    """(node, blob) from all blobs of a home, its own record (shard -1) first."""
+    """(node, blob) from all blobs of a home, its own record (of a negative shard) first."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("shard").to_pylist(), group.column("blob").to_pylist(), strict=True), key=lambda x: x[0])
@@ -156,11 +153,11 @@ def _answered(replies: DataFrame, per_home: Callable[[list[bytes]], list[tuple[b
     return replies.groupBy("home").applyInArrow(run, "node binary, blob binary")
 
 
-def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]], settle: Callable[..., np.ndarray]) -> DataFrame:
+def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], settle: Callable[..., np.ndarray]) -> DataFrame:
     """(node, blob) for texts (node, least, text) with windows that the kernel answers for; blob packs their starts.
 
-    kernel(units of all segments in a row, their lengths, their least ids) gives for each segment an int64 for each of its
-    windows; settle(answers, ids, times) says which of the windows count: each with its answer, its document's id, and how often its
+    kernel(units of all segments in a row, their lengths, least ids and routes) gives for each segment an int64 for each of
+    its windows; only segments of one route can share windows; settle(answers, ids, times) says which of the windows count: each with its answer, its document's id, and how often its
     segment is in the chunk of texts, where equal segments are one.
     """
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -180,19 +177,24 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
                     continue
                 keep = np.ones(len(h), dtype=bool)
                 keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-                twice = np.add.reduceat((~keep | a["again"][order]).astype(np.int64), np.flatnonzero(keep)) > 0 if units.within else np.zeros(int(keep.sum()), dtype=bool)
-                h, d = h[keep], d[keep].astype("<u4")
-                for s, part in _by_shard((h % np.uint64(shards)).astype(np.int64)):
-                    rows.append((s, home, _pack(h=h[part], d=d[part], twice=twice[part])))
-                yield _rows([*rows, (-1, home, b"".join(nodes[lo:hi]))])
+                twice = np.add.reduceat((~keep | a["again"][order]).astype(np.int64), np.flatnonzero(keep)) > 0 if units.within else np.zeros(0, dtype=bool)
+                h, d = h[keep], d[keep].astype("<u2" if hi - lo <= 65536 else "<u4")
+                for s, part in _by_shard(_shard(h, shards)):
+                    rows.append((s, home, _pack(h=h[part], d=d[part], twice=twice[part] if units.within else twice)))
+                yield _rows([*rows, (-1 - home, home, b"".join(nodes[lo:hi]))])
 
     def find_repeated(group: pa.Table) -> pa.Table:
+        if group.column("shard")[0].as_py() < 0:  # a home's own record, on its way
+            return group
         homes, blobs = group.column("home").to_pylist(), [_unpack(b) for b in group.column("blob").to_pylist()]
-        h, twice = np.concatenate([b[0] for b in blobs]), np.concatenate([b[2] for b in blobs])
+        h = np.concatenate([b[0] for b in blobs])
         d = np.concatenate([b[1] for b in blobs])
         of = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        use = ((n > 1) | (np.bincount(back, twice, len(n)) > 0))[back]
+        use = n > 1
+        if units.within:
+            use |= np.bincount(back, np.concatenate([b[2] for b in blobs]), len(n)) > 0
+        use = use[back]
         h, d, of, hot = h[use], d[use], of[use], (n > HOT)[back[use]]
         rows = [(homes[k], _pack(h=h[part], d=d[part], hot=hot[part])) for k, part in _by_shard(of)]
         return pa.table({"shard": pa.array([0] * len(rows), pa.int64()), "home": pa.array([x for x, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
@@ -204,9 +206,8 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         h, d, hot = (np.concatenate(x) for x in zip(*map(_unpack, blobs[1:]), strict=True))
         return [(nodes[k], _pack(h=h[part], hot=hot[part])) for k, part in _by_shard(d.astype(np.int64))]
 
-    anchors = cut(texts.select("node", "text").mapInArrow(send_anchors, _ROWS), "anchors")
-    repeated = anchors.where("shard >= 0").groupBy("shard").applyInArrow(find_repeated, _ROWS)
-    mine = cut(_answered(anchors.where("shard < 0").unionByName(repeated), to_documents), "repeated")
+    repeated = texts.select("node", "text").mapInArrow(send_anchors, _ROWS).groupBy("shard").applyInArrow(find_repeated, _ROWS)
+    mine = cut(_answered(repeated, to_documents), "repeated")
 
     def send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,9 +231,7 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
                 if hot.any():  # windows one by one, by their content
                     n = a["count"][hot]
                     one = np.repeat(a["start"][hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    from quillbook.llm.shingles import powers
-
-                    content = sums_of(a["values"], units.window, *powers(len(a["values"]) + 1))[one]
+                    content = units.content(a["raw"])[one]
                     start, route, doc = np.concatenate([start, one]), np.concatenate([route, content]), np.concatenate([doc, np.repeat(a["doc"][hot], n)])
                     size = np.concatenate([size, np.full(len(one), units.window)])
                 if not len(start):
@@ -248,15 +247,17 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
                 np.minimum.at(low, of, least)
                 keys = list(number)
                 routes = np.array([r for r, _ in keys], dtype=np.uint64)
-                rows = [(-1, home, _pack(start=start, doc=doc.astype("<u4"), of=of.astype("<u4"), n=size - units.window + 1, ids=least, begins=np.searchsorted(a["unit_doc"], np.arange(hi - lo)), nodes=np.frombuffer(b"".join(nodes[lo:hi]), np.uint8)))]
-                for s, part in _by_shard((routes % np.uint64(shards)).astype(np.int64)):
-                    rows.append((s, home, _pack(of=part.astype("<u4"), size=np.array([len(keys[i][1]) // width for i in part], dtype="<u4"), low=low[part], units=np.frombuffer(b"".join(keys[i][1] for i in part), raw_type))))
+                rows = [(-1 - home, home, _pack(start=start, doc=doc.astype("<u4"), of=of.astype("<u4"), n=size - units.window + 1, ids=least, begins=np.searchsorted(a["unit_doc"], np.arange(hi - lo)), nodes=np.frombuffer(b"".join(nodes[lo:hi]), np.uint8)))]
+                for s, part in _by_shard(_shard(routes, shards)):
+                    rows.append((s, home, _pack(of=part.astype("<u4"), size=np.array([len(keys[i][1]) // width for i in part], dtype="<u1"), low=low[part], route=(routes[part] >> np.uint64(24)).astype("<u4"), units=np.frombuffer(b"".join(keys[i][1] for i in part), raw_type))))
                 yield _rows(rows)
 
     def run_kernel(group: pa.Table) -> pa.Table:
+        if group.column("shard")[0].as_py() < 0:
+            return group
         homes, blobs = group.column("home").to_pylist(), [_unpack(b) for b in group.column("blob").to_pylist()]
         sizes = np.concatenate([b[1] for b in blobs]).astype(np.int64)
-        answers = kernel(np.concatenate([b[3] for b in blobs]), sizes, np.concatenate([b[2] for b in blobs]))
+        answers = kernel(np.concatenate([b[4] for b in blobs]), sizes, np.concatenate([b[2] for b in blobs]), np.concatenate([b[3] for b in blobs]))
         edge, at, rows = np.cumsum([0, *(len(b[1]) for b in blobs)]), np.cumsum([0, *(sizes - units.window + 1)]), []
         for k, home in enumerate(homes):
             part = answers[at[edge[k]] : at[edge[k + 1]]]
@@ -278,9 +279,8 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         raw_nodes = nodes.tobytes()
         return [(raw_nodes[16 * k : 16 * k + 16], _pack(at=np.sort(at[part]) - begins[k])) for k, part in _by_shard(owner)]
 
-    segments = cut(texts.join(mine, "node").select("node", "least", "text", "blob").mapInArrow(send_segments, _ROWS), "segments")
-    solved = segments.where("shard >= 0").groupBy("shard").applyInArrow(run_kernel, _ROWS)
-    return cut(_answered(segments.where("shard < 0").unionByName(solved), to_windows), "windows")
+    segments = texts.join(mine, "node").select("node", "least", "text", "blob").mapInArrow(send_segments, _ROWS)
+    return cut(_answered(segments.groupBy("shard").applyInArrow(run_kernel, _ROWS), to_windows), "windows")
 
 
 def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_stratified_shards": sharding.OP1_SQL,
     "op2_divergence_rules": quality.OP2_SQL,
+    "op10_relative_lz": relative_lz.OP10_SQL,
 }

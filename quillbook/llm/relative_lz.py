@@ -112,3 +112,14 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_words(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 34], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by g) as c from win) where c > 1),
+word as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+near as (select word.*, max(a.i) over (partition by word.doc_id order by p) as last from word left join again a on a.doc_id = word.doc_id and a.i = p),
+kept as (select doc_id, string_agg(word, ' ' order by p) as k, count(*) as n from near where last is null or p - last >= 35 group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256 from d left join kept using (doc_id)
+"""

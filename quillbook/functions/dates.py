@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillbook.functions.text import FLAGS, squeeze, strip
+from quillbook.functions.text import FLAGS, bound, squeeze, strip
 
 #: Accepted date formats, in the order in which they are tried.
 FORM_FORMATS = ["d MMM y", "d MMMM y", "d-MMM-y", "d/M/y", "d-M-y", "MMM d, y", "MMM d,y", "y-M-d"]
@@ -25,11 +25,6 @@ def _shape(fmt: str) -> str:
     return f"^{out}$"
 
 
-def bound(c: Column, f) -> Column:
-    """f of c, with c worked out once however often f uses it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def _in_title_case(c: Column) -> Column:
     """A text whose month names are written as the parser wants them: one capital, then small letters."""
     s = F.regexp_replace(F.lower(squeeze(c)), r"\bsept\b", "sep")

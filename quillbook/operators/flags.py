@@ -51,15 +51,47 @@ def flagged(rows: DataFrame, form: str, kind: str) -> DataFrame:
     return rows.withColumn("Flags", tds() if form == "TDS" else pf_challan() if (form, kind) == ("PF", "Challan") else standard(form))
 
 
-def sheet_gstr3b() -> Column:
-    """The further rule set of the spreadsheet generation, on rows of its measures."""
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1
-    return _joined([(_unknown("GSTIN"), "GSTIN?"), (~near("Out_CGST", "Out_SGST"), "CGST<>SGST(out)"), (~near("ITC_CGST", "ITC_SGST"), "ITC CGST<>SGST"), (F.least("Pay_IGST", "Pay_CGST", "Pay_SGST") < 0, "NEG PAYABLE"), (F.col("Util_Total") > F.col("ITC_Total") + 1, "UTIL>ITC")])
+def _c(name: str) -> Column:
+    return F.col(f"`{name}`")
 
 
-def sheet_pf() -> Column:
+def _not_positive(amount: Column) -> tuple[Column, str]:
+    return amount.isNull() | (amount <= 0), "AMT?"
+
+
+#: The rule sets of the spreadsheet generation. A frame that a document couldn't be parsed to has null numbers, and a
+#: condition on nulls doesn't hold; `parsed` says which rows were.
+def sheet_gstr3b(parsed: Column) -> Column:
+    """On analysis rows with PeriodDate."""
+    near = lambda a, b: F.abs(_c(a) - _c(b)) > 1
+    used = _c("IGST to IGST") + _c("IGST to CGST") + _c("IGST to SGST") + _c("CGST to IGST") + _c("CGST to CGST") + _c("SGST to IGST") + _c("SGST to SGST")
+    net = _c("Net Input IGST") + _c("Net Input CGST") + _c("Net Input SGST")
+    return _joined([
+        (~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), (parsed & (F.coalesce(F.length("GSTIN"), F.lit(0)) != 15), "GSTIN?"), (near("Output CGST", "Output SGST"), "CGST<>SGST(out)"), (near("Net Input CGST", "Net Input SGST"), "ITC CGST<>SGST"),
+        (F.least(_c("IGST Payable"), _c("CGST Payable"), _c("SGST Payable")) < 0, "NEG PAYABLE"), (used > net + 1, "UTIL>ITC"),
+    ])
+
+
+def sheet_amount() -> Column:
+    return _c("IGST Payable") + _c("CGST Payable") + _c("SGST Payable")
+
+
+def sheet_pf(parsed: Column) -> Column:
     uneven = F.abs(F.col("Employee_EPF_AC01") - F.col("Employer_EPF_AC01") - F.col("Employer_EPS_AC10")) > 1
-    return _joined([(F.col("Employer_EPS_AC10") > F.col("Employee_EPF_AC01"), "EPS>EPF?"), (uneven, "EE<>ER(EPF+EPS)"), (F.col("PF_Admin_AC02") == 0, "NO ADMIN")])
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), (F.col("Employer_EPS_AC10") > F.col("Employee_EPF_AC01"), "EPS>EPF?"), (uneven, "EE<>ER(EPF+EPS)"), (F.col("PF_Admin_AC02") == 0, "NO ADMIN")])
+
+
+def sheet_ptrc(parsed: Column) -> Column:
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), _not_positive(_c("PT Paid")), (~F.coalesce(_c("Type of Return").contains("PTRC"), F.lit(False)), "TYPE?")])
+
+
+def sheet_tds(parsed: Column) -> Column:
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "MONTH?"), (F.abs(_c("Crosscheck Diff")) > 1, "CROSSCHECK"), (F.col("Section").isNull() | (F.col("Section") == "Unknown"), "SECTION?"), (_unknown("EntityID"), "TAN?")])
+
+
+def sheet_esic(parsed: Column) -> Column:
+    """On ranked rows."""
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), (F.col("Party") == "Other", "EXTRA CHALLAN"), _not_positive(F.col("Amount"))])
 
 
 def sheet_status(flags: Column, parsed: Column) -> Column:

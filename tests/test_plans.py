@@ -1,5 +1,4 @@
 import json
-import time
 
 import duckdb
 import pytest
@@ -108,4 +107,3 @@ def test_stream_of_pages(spark, tmp_path):
     again = incremental.start(spark, str(tmp_path / "pages"), str(tmp_path / "cp"), lambda good, bad, n: seen.append("again"))
     again.awaitTermination(60)
     assert len(seen) == 1
-    time.sleep(0)

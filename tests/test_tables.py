@@ -79,6 +79,18 @@ def test_absent_numbers_are_null_and_not_zero(spark):
     assert "IGST Payable" in r["Missing Fields"] and r["Status"] == "Review"
 
 
+def test_sheet_rules(spark):
+    from quillbook.operators import flags
+
+    _, wide = three_b(spark)
+    row = wide.withColumn("PeriodDate", F.lit(date(2025, 6, 1)))
+    got = row.select(flags.sheet_gstr3b(F.lit(True)).alias("f"), flags.sheet_amount().alias("a")).first()
+    assert (got.f, got.a) == ("UTIL>ITC", 101.0)
+    lost = row.withColumn("Output CGST", F.lit(60.0)).withColumn("GSTIN", F.lit("x")).withColumn("PeriodDate", F.lit(None).cast("date"))
+    assert lost.select(flags.sheet_gstr3b(F.lit(True))).first()[0] == "PERIOD?; GSTIN?; CGST<>SGST(out); UTIL>ITC"
+    assert spark.range(1).select(flags.sheet_status(F.lit(""), F.lit(False))).first()[0] == "Error"
+
+
 def test_lines_are_a_fold_and_no_gap_rule(spark):
     words = spark.createDataFrame([("a", 1, f"w{i}", float(i), i + 0.5, t, t + 1) for i, t in enumerate([10.0, 11.5, 13.0, 15.6, 16.0])], "source_file string, page_no int, text string, x0 double, x1 double, top double, bottom double")
     assert [r.text for r in G.cluster_lines(words, ["source_file", "page_no"]).orderBy("line_no").collect()] == ["w0 w1", "w2", "w3 w4"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to 8 MB and 2000 rows, so that a task holds little of the texts at once in
+    the JVM and in Python. Smaller limits that are set stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)):
+        now = int(re.sub(r"\D", "", conf.get(key)) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have (names are matched without regard to case)."""
     taken = {c.lower() for c in df.columns}
@@ -58,15 +70,5 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], bucket: Column,
     return joined.withColumn(name, F.col(name) + F.col(before)).drop(before, b, *(f"{k}_of" for k in keys))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = 64) -> DataFrame:
-    """Joins on `key` where one key may hold a third of big's rows and small has one row a key: big is dealt over `salts`
-    parts of each key, small goes once to each part."""
-    s = fresh(big, "salt_")
-    rows = [c for c in big.columns if c != key]
-    dealt = big.withColumn(s, F.pmod(F.xxhash64(*[F.col(c) for c in rows if not big.schema[c].dataType.typeName() == "map"]), F.lit(salts)).cast("int"))
-    copies = small.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(copies, [key, s], how).drop(s)
-
-
 def crc32_of(text: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8"))

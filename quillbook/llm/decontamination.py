@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import table
+from quillbook.llm.common import in_small_batches, table
 
 #: Test items in one index; what is sent to the executors at once.
 BLOCK = 4096
@@ -195,7 +195,7 @@ def searched(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int64()), *(pa.array(columns[i], pa.float64()) for i in (2, 3, 4))], names=[id_col, "item_id", "score", "question_overlap", "answer_overlap"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")
+    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, id_col: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillbook.llm.boosting import Boosted
-from quillbook.llm.common import table
+from quillbook.llm.common import in_small_batches, table
 from quillbook.llm.html_tree import Page, read
 
 #: Bound of the synthetic pages that the trees learn from.
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, model: Boosted | None = None, source: str = "html"
                 texts += [main_text(p, decode(p, c)) for p, c in zip(read_pages, chances, strict=True)]
             yield pa.record_batch([*batch.columns[:last], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return side.mapInArrow(run, schema)
+    return in_small_batches(side).mapInArrow(run, schema)
 
 
 def op3_boosted_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import table
+from quillbook.llm.common import in_small_batches, table
 
 DIMENSIONS = 1024
 N = 3
@@ -108,7 +108,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
                         sums[langs[at + k]] = sums.get(langs[at + k], 0) + v.astype(np.float64)
         yield pa.record_batch([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "total"])
 
-    parts = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).repartition(16).mapInArrow(run, "lang string, total array<double>").collect()
+    parts = in_small_batches(labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).repartition(16)).mapInArrow(run, "lang string, total array<double>").collect()
     names = sorted({r.lang for r in parts})
     found = np.zeros((len(names), DIMENSIONS))
     for r in sorted(parts, key=lambda r: (r.lang, r.total)):
@@ -117,29 +117,32 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
 
 
 def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those in keep) with lang_pred and score (cosine, 0 to 1).
+    """docs' columns (or those in keep) with lang_pred and score (cosine, 0 to 1). text may be a field of a struct column.
 
     A null text, one without a letter, or any text when nothing was learned, is `und` with score 0. Ties go to the first
     language in alphabetical order. Columns named lang_pred or score give way to the new ones.
     """
     docs = docs.drop("lang_pred", "score")
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
-    side = docs.select(*keep, F.col(text).alias("text to read"))
-    out_schema = side.drop("text to read").schema.add("lang_pred", "string").add("score", "double")
+    outer, _, inner = text.partition(".")
+    side = docs.select(*keep, *([] if outer in keep else [F.col(text).alias("text to read")]))
+    place = keep.index(outer) if outer in keep else len(keep)
+    out_schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last = batch.num_columns - 1
+            column = batch.column(place).field(inner) if inner else batch.column(place)
             langs, scores = [], []
-            for _, vectors in text_vectors([t or "" for t in batch.column(last).to_pylist()]):
-                near = vectors @ prototypes.T if names else np.zeros((len(vectors), 1))
-                best = near.argmax(axis=1)
-                known = vectors.any(axis=1) & bool(names)
-                langs += [names[b] if k else UNDECIDED for b, k in zip(best, known, strict=True)]
-                scores += np.where(known, np.clip(near[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
-            yield pa.record_batch([*batch.columns[:last], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out_schema.names)
-
-    return side.mapInArrow(run, out_schema)
+            for lo in range(0, len(column), 256):
+                for _, vectors in text_vectors([t or "" for t in column.slice(lo, 256).to_pylist()]):
+                    near = vectors @ prototypes.T if names else np.zeros((len(vectors), 1))
+                    best = near.argmax(axis=1)
+                    known = vectors.any(axis=1) & bool(names)
+                    langs += [names[b] if k else UNDECIDED for b, k in zip(best, known, strict=True)]
+                    scores += np.where(known, np.clip(near[np.arange(len(best)), best], 0, 1), 0).astype(float).tolist()
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=out_schema.names)
+
+    return in_small_batches(side).mapInArrow(run, out_schema)
 
 
 def third(id_col: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import cut, table
+from quillbook.llm.common import cut, in_small_batches, table
 from quillbook.llm.components import components
 from quillbook.llm.shingles import chunks, mix, shingle_sets
 
@@ -30,6 +30,8 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 SIMILARITY = 0.8
 SHINGLE = 5
+#: Texts sketched at once; a text of a few words takes about 100 kB of darts.
+SKETCH_BYTES = 400_000
 #: Nodes in a chunk of a group that is compared all with all; a unit of two chunks is held by one task.
 CHUNK = 256
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
@@ -106,7 +108,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             texts = [(t.as_py() or "").encode() for t in batch.column(2)]
             bands: list[list[int]] = []
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, SKETCH_BYTES):
                 element, doc, _ = shingle_sets(texts[lo:hi], SHINGLE)
                 some = np.bincount(doc, minlength=hi - lo) > 0
                 found = band_hashes(signatures(element, doc, np.ones(len(element)), hi - lo)).view(np.int64)
@@ -115,7 +117,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     side = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col), F.col(id_col)).alias("node"), F.col(text_col).alias("text"))
-    return side.mapInArrow(run, f"id {kind}, node binary, bands array<long>")
+    return in_small_batches(side).mapInArrow(run, f"id {kind}, node binary, bands array<long>")
 
 
 @lru_cache(maxsize=64)
@@ -135,7 +137,7 @@ def compared(pairs: DataFrame) -> DataFrame:
                 near.append(both >= SIMILARITY * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, near boolean")
+    return in_small_batches(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long, near boolean")
 
 
 def alike(texts: list[bytes], columns: int = 4096) -> np.ndarray:

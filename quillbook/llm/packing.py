@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import cut, ranked, table
+from quillbook.llm.common import cut, in_small_batches, ranked, table
 
 #: With so many ranges (40 bytes each) the table of ranges is still broadcast; beyond it the join is shuffled.
 BROADCAST_RANGES = 100_000
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, json_path: str, ranks_pa
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return in_small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:

@@ -1,6 +1,5 @@
 import corpus_pipeline
-from quillbook.llm import langid, neardup, secrets
-from quillbook.llm import decontamination as dc
+from quillbook.llm import langid
 from tests.llm.helpers import SF, documents, empty, odd
 from tests.llm.test_duplicates import brute_classes
 from tests.llm.test_quality_secrets import base_spans
@@ -38,7 +37,6 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
 
 
 def test_clean_documents_stay(spark):
-    assert neardup and secrets and dc
     prose = spark.createDataFrame([(i, f"the quick brown fox number {i} ran over hill {i * 7} and met {i * 13} friends of its own at place {i * 31}", "en") for i in range(30)], "doc_id long, text string, lang string")
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, prose, SF).count() == 30, name

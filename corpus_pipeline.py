@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, prototypes = langid.learn(docs)
     if not names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), names, prototypes, keep=["row"])
+    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row")), names, prototypes, text="row.text")
     return found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each class; of rows equal in doc_id and text, one."""
     classes = neardup.near_duplicates(docs)
     alone = F.when(F.col("class_id").isNull(), F.col("node"))
-    kept = classes.groupBy("class_id", alone.alias("alone")).agg(F.min(F.struct("id", "node")).alias("k")).select(F.col("k.id").alias("kept id"), F.col("k.node").alias("kept node"))
+    kept = classes.groupBy("class_id", alone.alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("k")).select(F.col("k.id").alias("kept id"), F.col("k.node").alias("kept node"))
     node = fresh(docs, "node_")
     out = docs.withColumn(node, neardup.text_key(F.col("text"), F.col("doc_id")))
     out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.col(node) == F.col("kept node")), "left_semi")

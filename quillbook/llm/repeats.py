@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import cut
+from quillbook.llm.common import cut, in_small_batches
 from quillbook.llm.neardup import text_key
 from quillbook.llm.shingles import chunks, mix
 
@@ -137,8 +137,8 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = docs.select(text_key(F.col(text_col), F.col(id_col)).alias("node"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     one = one.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    name = f"quillbook_texts_{uuid.uuid4().hex}"
-    one.repartition(parts, "node").write.bucketBy(parts, "node").saveAsTable(name)
+    name = f"quillbook_texts_{uuid.uuid4().hex}"  # the aggregation has dealt the rows to as many parts by the same hash
+    one.write.bucketBy(parts, "node").saveAsTable(name)
     return spark.table(name)
 
 
@@ -206,7 +206,7 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         h, d, hot = (np.concatenate(x) for x in zip(*map(_unpack, blobs[1:]), strict=True))
         return [(nodes[k], _pack(h=h[part], hot=hot[part])) for k, part in _by_shard(d.astype(np.int64))]
 
-    repeated = texts.select("node", "text").mapInArrow(send_anchors, _ROWS).groupBy("shard").applyInArrow(find_repeated, _ROWS)
+    repeated = in_small_batches(texts.select("node", "text")).mapInArrow(send_anchors, _ROWS).groupBy("shard").applyInArrow(find_repeated, _ROWS)
     mine = cut(_answered(repeated, to_documents), "repeated")
 
     def send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
                     size = np.concatenate([size, np.full(len(one), units.window)])
                 if not len(start):
                     continue
-                least = np.array([NO_ID if i is None else i for i in ids[lo:hi]], dtype=np.int64)[doc]
+                by_text = np.array([NO_ID if i is None else i for i in ids[lo:hi]], dtype=np.int64)
                 flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
                 units_flat, ends = a["raw"][flat], np.cumsum(size)
                 raw_bytes = units_flat.tobytes()
@@ -244,10 +244,10 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
                 number: dict[tuple[int, bytes], int] = {}
                 of = np.array([number.setdefault((r, raw_bytes[(e - z) * width : e * width]), len(number)) for r, e, z in zip(route.tolist(), ends.tolist(), size.tolist(), strict=True)])
                 low = np.full(len(number), NO_ID, dtype=np.int64)
-                np.minimum.at(low, of, least)
+                np.minimum.at(low, of, by_text[doc])
                 keys = list(number)
                 routes = np.array([r for r, _ in keys], dtype=np.uint64)
-                rows = [(-1 - home, home, _pack(start=start, doc=doc.astype("<u4"), of=of.astype("<u4"), n=size - units.window + 1, ids=least, begins=np.searchsorted(a["unit_doc"], np.arange(hi - lo)), nodes=np.frombuffer(b"".join(nodes[lo:hi]), np.uint8)))]
+                rows = [(-1 - home, home, _pack(start=start.astype("<u4"), doc=doc.astype("<u4"), of=of.astype("<u4"), n=(size - units.window + 1).astype("<u1"), ids=by_text, begins=np.searchsorted(a["unit_doc"], np.arange(hi - lo)), nodes=np.frombuffer(b"".join(nodes[lo:hi]), np.uint8)))]
                 for s, part in _by_shard(_shard(routes, shards)):
                     rows.append((s, home, _pack(of=part.astype("<u4"), size=np.array([len(keys[i][1]) // width for i in part], dtype="<u1"), low=low[part], route=(routes[part] >> np.uint64(24)).astype("<u4"), units=np.frombuffer(b"".join(keys[i][1] for i in part), raw_type))))
                 yield _rows(rows)
@@ -261,7 +261,8 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         edge, at, rows = np.cumsum([0, *(len(b[1]) for b in blobs)]), np.cumsum([0, *(sizes - units.window + 1)]), []
         for k, home in enumerate(homes):
             part = answers[at[edge[k]] : at[edge[k + 1]]]
-            rows.append((home, _pack(of=blobs[k][0], size=blobs[k][1], answer=part)))
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # neighbours mostly have one answer
+            rows.append((home, _pack(of=blobs[k][0], size=blobs[k][1], answer=part[first], times=np.diff(np.append(first, len(part))).astype("<u4"))))
         return pa.table({"shard": pa.array([0] * len(rows), pa.int64()), "home": pa.array([x for x, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
 
     def to_windows(blobs: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -269,13 +270,15 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         got = [_unpack(b) for b in blobs[1:]]
         if not got:
             return []
-        number, size, answer = (np.concatenate(x) for x in zip(*got, strict=True))
+        start, doc, n = start.astype(np.int64), doc.astype(np.int64), n.astype(np.int64)
+        number, size, answer, times = (np.concatenate(x) for x in zip(*got, strict=True))
+        answer = np.repeat(answer, times)
         wins = size.astype(np.int64) - units.window + 1
         first = np.zeros(int(number.max()) + 1, dtype=np.int64)
         first[number] = np.cumsum(wins) - wins
         flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        counts = settle(answer[np.repeat(first[of], n) + flat], np.repeat(ids, n), np.repeat(np.bincount(of)[of], n))
-        at, owner = (np.repeat(start, n) + flat)[counts], np.repeat(doc, n)[counts].astype(np.int64)
+        counts = settle(answer[np.repeat(first[of], n) + flat], np.repeat(ids[doc], n), np.repeat(np.bincount(of)[of], n))
+        at, owner = (np.repeat(start, n) + flat)[counts], np.repeat(doc, n)[counts]
         raw_nodes = nodes.tobytes()
         return [(raw_nodes[16 * k : 16 * k + 16], _pack(at=np.sort(at[part]) - begins[k])) for k, part in _by_shard(owner)]
 

@@ -22,7 +22,7 @@ BASE = {
 }
 WEAK = {
     "login": (r"""(?i)(?<![A-Za-z0-9])(client_?id|user_?name|user|login|account|access_key_id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)""", 2, 3),
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/_=-])", 0, 32),
+    "opaque": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])", 0, 32),
     "endpoint": (r"""(?i)(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqps?|mongodb)://[^\x00-\x20"'<>]+""", 0, 1),
 }
 KINDS = [*BASE, *WEAK]

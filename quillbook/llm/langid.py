@@ -18,7 +18,7 @@ from quillbook.llm.common import in_small_batches, table
 
 DIMENSIONS = 1024
 N = 3
-#: Prototypes are learned from about so many rows, taken by a hash of doc_id; more add nothing measurable.
+#: Prototypes are learned from about so many rows of each language, taken by a hash; more add nothing measurable.
 LEARN_ROWS = 4000
 UNDECIDED = "und"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -91,12 +91,14 @@ def text_vectors(texts: list[str], block: int = 32) -> Iterator[tuple[int, np.nd
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = LEARN_ROWS, by: str = "doc_id") -> tuple[list[str], np.ndarray]:
-    """Prototypes from about `rows` rows of labelled, chosen by a hash of `by`. Rows with a null text or label, and texts
-    without letters, teach nothing. At most 16 partial sums a language reach the driver."""
+    """Prototypes from about `rows` rows of each language in labelled, chosen by a hash of `by` and the text, or all of its
+    rows where it has no more. Rows with a null text or label, and texts without letters, teach nothing. The sizes of the
+    languages that have more, and at most 16 partial sums a language, reach the driver."""
     labelled = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    n = labelled.count()
-    if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit(17), F.col(by)), F.lit(n)) < rows)
+    sizes = {r.lang: r.n for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).collect()}
+    if sizes:
+        size = F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair]), F.col(lang))
+        labelled = labelled.where(size.isNull() | (F.pmod(F.xxhash64(F.lit(17), F.col(by), F.col(text)), size) < rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -28,6 +28,17 @@ def test_language_of_odd_rows(spark):
     assert names == [] and {r.lang_pred for r in langid.identify(odd(spark), names, p).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_in_full_beside_large_ones(spark):
+    large = [(None if i % 2 else i, f"the {i} of {i * 7} hills was at place {chr(97 + i % 26)}{i}", ("en", "de")[i % 2]) for i in range(3000)]
+    rare = [(9001, "Ο ήλιος ανατέλλει πάνω από τη θάλασσα", "el"), (9002, "Καλημέρα στην πόλη και στη θάλασσα", "el")]
+    df = spark.createDataFrame(large + rare, "doc_id long, text string, lang string")
+    names, p = langid.learn(df, rows=40)
+    all_names, all_p = langid.learn(df)
+    assert names == all_names == ["de", "el", "en"]
+    assert np.allclose(p[1], all_p[1]) and not np.allclose(p[0], all_p[0]) and not np.allclose(p[2], all_p[2])  # large ones are still sampled
+    assert langid.identify(df.where("doc_id = 9001"), names, p).first().lang_pred == "el"
+
+
 def test_bundles_are_sums_of_bound_letters():
     v = dict(zip("abc", langid.letter_vectors(np.array([97, 98, 99])), strict=True))
     want = np.roll(v["a"], 2) * np.roll(v["b"], 1) * v["c"]

@@ -60,8 +60,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their place in sequences of 1024 tokens."""
-    return packing.packed(docs)
+    """The pieces of all documents, with their token ids and their place in sequences of 1024 tokens."""
+    return packing.packed(docs, with_ids=True)
 
 
 STAGES = [

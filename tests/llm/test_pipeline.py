@@ -1,3 +1,5 @@
+import zlib
+
 import corpus_pipeline
 from quillbook.llm import langid
 from tests.llm.helpers import SF, documents, empty, odd
@@ -40,3 +42,10 @@ def test_clean_documents_stay(spark):
     prose = spark.createDataFrame([(i, f"the quick brown fox number {i} ran over hill {i * 7} and met {i * 13} friends of its own at place {i * 31}", "en") for i in range(30)], "doc_id long, text string, lang string")
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, prose, SF).count() == 30, name
+
+
+def test_pipeline_returns_the_token_ids(spark):
+    docs = documents(spark).limit(20)
+    rows = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
+    assert all(len(r.ids) == r.length and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_crc32 for r in rows)

@@ -1,6 +1,8 @@
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -97,35 +99,82 @@ def items():
     return [(k, " ".join(rng.choices(words, k=rng.randint(8, 40))) + "? " + " ".join(rng.choices(words, k=rng.randint(1, 6)))) for k in range(80)], rng, words
 
 
+def indexed(bench):
+    frequency = Counter(t for _, x in bench for t in set(dc.terms(x)))
+    return dc.Index(bench, frequency, len(bench), np.mean([len(dc.terms(x)) for _, x in bench]))
+
+
+def brute_hits(docs, bench):
+    """Every passage against every item, by BM25's formula and the definition of the overlaps."""
+    tf = {k: Counter(dc.terms(x)) for k, (_, x) in enumerate(bench)}
+    df = Counter(t for c in tf.values() for t in c)
+    mean, out = sum(c.total() for c in tf.values()) / len(bench), set()
+    for k, (item, text) in enumerate(bench):
+        if not tf[k]:
+            continue
+        n = tf[k].total()
+        w = {t: math.log(1 + (len(bench) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) for t, f in tf[k].items()}
+        parts = dc.question_and_answer(text)
+        for doc, body in docs:
+            for _, window in dc.passages(dc.terms(body or ""), dc.step_of(n)):
+                there = set(window)
+                if sum(x for t, x in w.items() if t in there) >= 0.5 * sum(w.values()) - 1e-9:
+                    if all(dc.overlap(p, window) >= 0.5 for p in parts):
+                        out.add((doc, item))
+    return out
+
+
 def test_search_finds_what_scoring_everything_finds():
     bench, rng, words = items()
-    frequency = dc.Counter(t for _, x in bench for t in set(dc.terms(x)))
-    index = dc.Index(bench, frequency, len(bench), np.mean([len(dc.terms(x)) for _, x in bench]))
+    index = indexed(bench)
+    (postings,) = index.postings
     for _ in range(150):
         text = rng.choices(words, k=60)
         if rng.random() < 0.6:
             text += dc.terms(rng.choice(bench)[1])[: rng.randint(4, 40)]
         query = sorted({index.vocabulary[t] for t in text if t in index.vocabulary})
         want = []
-        for k in range(len(index.items)):
-            s = sum(w for t in query for i, w in zip(*index.postings[t], strict=True) if i == k)
+        for k in range(len(postings.ids)):
+            s = sum(w for t in query for i, w in zip(*postings.of(t)[:2], strict=True) if i == k)
             if s >= dc.THETA - 1e-9:
                 want.append(k)
-        assert sorted(k for k, _ in index.search(query)) == want
+        assert sorted(k for k, _ in postings.search(query)) == want
         found = np.array([index.vocabulary.get(t, -1) for t in text])
-        worth = index.passages_worth_a_search(found, np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.int64), 10**6)
+        postings.step = 10**6
+        worth = postings.passages_worth_a_search(found, np.zeros(len(found), dtype=np.int64), np.zeros(len(found), dtype=np.int64))
         assert not want or len(worth) == 1
 
 
-def test_planted_items_are_hits_and_clean_texts_are_not(spark):
+def with_leaks():
     bench, rng, _ = items()
-    clean = [(i, " ".join(f"q{rng.randint(0, 999)}" for _ in range(200))) for i in range(20)]
+    filler = lambda n: " ".join(f"q{rng.randint(0, 999)}" for _ in range(n))
+    bench.append((900, filler(700) + "? " + filler(20)))  # a long item has its own passages
+    clean = [(i, filler(200)) for i in range(20)]
     dirty = [(100 + k, clean[k % 20][1] + " " + bench[k][1].upper() + "! " + clean[3][1]) for k in range(30)]
     half = [(200 + k, clean[k][1] + " " + bench[k][1].split("?")[0]) for k in range(5)]
-    docs = spark.createDataFrame(clean + dirty + half, "doc_id long, text string")
-    for block in (4096, 7):
-        hits = {(r.doc_id, r.item_id) for r in dc.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string"), block).collect()}
-        assert {(100 + k, k) for k in range(30)} <= hits and all(d >= 100 for d, _ in hits)
+    apart = [(300 + k, bench[40 + k][1].split("?")[0] + "? " + filler(900) + bench[40 + k][1].split("?")[1]) for k in range(5)]
+    return bench, clean + dirty + half + apart + [(400, filler(900) + bench[-1][1] + filler(50)), (401, None), (402, "")]
+
+
+def test_hits_depend_on_document_and_item_only(spark):
+    bench, rows = with_leaks()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hits = lambda items, size=dc.INDEX_BYTES: sorted((r.doc_id, r.item_id) for r in dc.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), size).collect())
+    want = hits(bench)
+    assert set(want) == brute_hits(rows, bench) and len(want) == len(set(want))
+    assert {(100 + k, k) for k in range(30)} <= set(want) and (400, 900) in want and not any(d < 100 for d, _ in want)
+    # an answer of several words, out of the passage's reach, doesn't count
+    assert not any(d == 300 + k and i == 40 + k for d, i in want for k in range(5) if len(dc.terms(bench[40 + k][1].split("?")[1])) > 2)
+    for size in (300, 2000, 10_000):  # many indexes, several, two
+        assert hits(bench, size) == want
+    assert hits([b for b in bench if b[0] != 900]) == [x for x in want if x[1] != 900]
+    assert hits([b for b in bench if b[0] % 2 == 0]) == [x for x in want if x[1] % 2 == 0]
+
+
+def test_items_with_ids_of_any_type(spark):
+    bench, rows = with_leaks()
+    df = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(f"set-{k}", x) for k, x in bench], "item_id string, text string"))
+    assert {(r.doc_id, r.item_id) for r in df.collect()} == {(d, f"set-{k}") for d, k in brute_hits(rows, bench)}
 
 
 def test_verbatim_leaks_of_the_tables(spark):

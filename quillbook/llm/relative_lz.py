@@ -1,14 +1,18 @@
 """Duplicate word windows by relative Lempel-Ziv parsing.
 
 The segments of texts that can share a window meet in shards (see repeats). A shard's segments, put in a row, are its
-reference block, indexed by windows. Each segment is parsed against the block greedily: where its window occurs elsewhere
-in the block, a factor starts, which goes on for as long as text and source do; a window that lies over a factor's end is
-looked up by itself and starts the next factor. Factors of at least WINDOW words are duplicate spans.
+reference block, indexed by an array of all its suffixes with the number of words that neighbours share. Each segment is
+parsed against the block greedily: the next factor is the longest stretch that also starts elsewhere in the block, or a
+single word if none does, and the one after it begins where it ends. Factors of at least WINDOW words are duplicate spans;
+windows that lie over a boundary between factors are looked up in the index by themselves.
+
+A stretch of WINDOW words whose anchor occurs nowhere else can't be a factor that counts in any block, so it is parsed
+against none; one whose anchor does is parsed against the block that holds every other stretch with that anchor. Together
+that is the parse of each document against all blocks, as far as factors of WINDOW words go.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,100 +22,119 @@ from pyspark.sql import functions as F
 
 from quillbook.llm.common import SPACE, table
 from quillbook.llm.neardup import text_key
-from quillbook.llm.repeats import Units, _unpack, covered, distinct_texts, shared_windows
+from quillbook.llm.repeats import Units, covered, distinct_texts, shared_windows, starts_in, windows_by_text
 from quillbook.llm.shingles import window_hashes, word_hashes
 
 WINDOW = 35
 
 
-def parse(block: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Factors of all segments of a block against the block: start, length, source, as places in it.
-
-    The source of a window is its first occurrence, and of that one the second. A factor ends where the source of the next
-    window isn't the next place, or there is none.
-    """
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
+class Block:
+    """Segments in a row as a reference block, with the index that a parse asks."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray):
+        self.sizes, self.begin = sizes, np.cumsum(sizes) - sizes
+        n, longest = len(words), int(sizes.max(initial=1))
+        left = np.repeat(self.begin + sizes, sizes) - np.arange(n)  # words to the segment's end
+        # names[k]: a number for the 2**k words from each place, unlike all others where the segment ends before
+        names = [np.unique(words, return_inverse=True)[1].astype(np.int64)]
+        while (h := 1 << (len(names) - 1)) < longest:
+            last = names[-1]
+            after = np.where(left > h, last[np.minimum(np.arange(n) + h, n - 1)], -1 - np.arange(n))
+            names.append(np.unique(last * (2 * n + 1) + after + n, return_inverse=True)[1].astype(np.int64))
+        self.order = np.argsort(names[-1], kind="stable")  # suffixes that share words are neighbours
+        a, b = self.order[:-1].copy(), self.order[1:].copy()
+        shared = np.zeros(len(a), dtype=np.int64)
+        live = np.ones(len(a), dtype=bool)
+        for k in range(len(names) - 1, -1, -1):
+            same = live & (names[k][np.minimum(a, n - 1)] == names[k][np.minimum(b, n - 1)])
+            step = np.where(same, np.minimum(1 << k, np.minimum(left[np.minimum(a, n - 1)], left[np.minimum(b, n - 1)])), 0)
+            shared, a, b = shared + step, a + step, b + step
+            live &= (shared < left[self.order[:-1]]) & (shared < left[self.order[1:]])
+        one = np.concatenate(([0], shared))
+        other = np.concatenate((shared, [0]))
+        self.longest, self.source = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        self.longest[self.order] = np.maximum(one, other)
+        self.source[self.order] = np.where(one >= other, np.concatenate(([-1], self.order[:-1])), np.concatenate((self.order[1:], [-1])))
+
+    def match(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The length of the longest stretch from each place that also starts elsewhere in the block, and where."""
+        return self.longest[place], self.source[place]
+
+
+def parse(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of all segments: start, length and source, as places in the block. Those of a segment follow each
+    other without gaps; one without a match is a single word with source -1."""
+    at, end = block.begin.copy(), block.begin + block.sizes
+    out = []
+    open_ = np.flatnonzero(at < end)
+    while len(open_):  # the next factor of every segment
+        length, source = block.match(at[open_])
+        source = np.where(length > 0, source, -1)
+        length = np.maximum(length, 1)
+        out.append((at[open_], length, source))
+        at[open_] += length
+        open_ = open_[at[open_] < end[open_]]
+    start, length, source = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
+    order = np.argsort(start)
+    return start[order], length[order], source[order]
+
+
+def elsewhere(words: np.ndarray, sizes: np.ndarray, low: np.ndarray, route: np.ndarray) -> np.ndarray:
+    """1 for each window of each segment that also starts elsewhere in the block: it lies within a factor, or over a boundary
+    of factors and the index has it. Else 0."""
+    block = Block(words, sizes)
+    start, length, _ = parse(block)
     wins = sizes - WINDOW + 1
-    places = np.repeat(begin, wins) + np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
-    content = window_hashes(block, WINDOW)[places]
-    order = np.lexsort((places, content))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = content[order][1:] != content[order][:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(order)))
-    group = np.cumsum(new) - 1
-    source = places[order][first][group]
-    source = np.where(new, np.where(size[group] > 1, places[order][np.minimum(first[group] + 1, len(order) - 1)], -1), source)
-    at = np.empty(len(order), dtype=np.int64)
-    at[order] = source
-    has = at >= 0
-    goes_on = np.zeros(len(places), dtype=bool)
-    goes_on[1:] = has[1:] & has[:-1] & (places[1:] == places[:-1] + 1) & (at[1:] == at[:-1] + 1)
-    start = np.flatnonzero(has & ~goes_on)
-    run = np.cumsum(has & ~goes_on)
-    length = np.bincount(run[has], minlength=len(start) + 1)[1:] + WINDOW - 1
-    return places[start], length, at[start]
-
-
-def elsewhere(block: np.ndarray, sizes: np.ndarray, low: np.ndarray, route: np.ndarray) -> np.ndarray:
-    """1 for each window of each segment that lies within a factor, else 0."""
-    start, length, _ = parse(block, sizes)
-    wins = sizes - WINDOW + 1
-    inside = np.zeros(len(block) + 1, dtype=np.int64)
-    np.add.at(inside, start, 1)
-    np.add.at(inside, start + length - WINDOW + 1, -1)
-    places = np.repeat(np.cumsum(sizes) - sizes, wins) + np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
-    return (np.cumsum(inside)[places] > 0).astype(np.int64)
-
-
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return word_hashes(texts)
-
-
-def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_removed, kept_sha256; on request also spans, the removed runs of words.
-
-    A word goes if a window of WINDOW words that covers it also starts anywhere else, in its own document too. A null text
-    has no words. Rows of one text repeat all of each other's windows.
+    places = np.repeat(block.begin, wins) + np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
+    factor = np.searchsorted(start, places, side="right") - 1
+    within = places + WINDOW <= start[factor] + length[factor]
+    found = within.copy()
+    over = np.flatnonzero(~within)
+    found[over] = block.match(places[over])[0] >= WINDOW
+    return found.astype(np.int64)
+
+
+def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id_col, n_words, kept (the words that stay, joined by one space) and spans (the removed
+    runs of words, from and to).
+
+    A word goes if a window of WINDOW words that covers it also starts anywhere else, in its own document too. A null, empty
+    or blank text has no words, and an empty table gives an empty result; texts are read whole, however long. Rows of one
+    text repeat all of each other's windows. Ids may be of any type, null or repeated: they are only passed on. Other
+    columns of docs, whatever their names, are left out.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = distinct_texts(docs, "id", "text")
-    units = Units(WINDOW, 6, "<u8", _words, lambda w: window_hashes(w, 6), lambda w: window_hashes(w, WINDOW), within=True)
-    found = shared_windows(texts, units, elsewhere, lambda there, ids, times: (there > 0) | (times > 1))
+    texts = distinct_texts(docs.select(F.lit(0).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", "text")
+    units = Units(WINDOW, 6, "<u8", word_hashes, lambda w: window_hashes(w, 6), lambda w: window_hashes(w, WINDOW), within=True)
+    found = shared_windows(texts, units, elsewhere, np.maximum, lambda there, ids, times: (there > 0) | (times > 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, blob in zip(batch.column(1), batch.column(2), strict=True):
-                words, blob = (text.as_py() or "").encode().split(), blob.as_py()
-                a, b = covered(_unpack(blob)[0], WINDOW) if blob else ((), ())
-                kept, at = [], 0
-                for lo, hi in zip(a, b, strict=True):
-                    kept += words[at:lo]
-                    at = hi
-                kept += words[at:]
-                out.append((len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"from": int(x), "to": int(y)} for x, y in zip(a, b, strict=True)]))
-            gone, sha, spans_ = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.record_batch([batch.column(0), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(spans_, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["node", "n_removed", "kept_sha256", "spans"])
+            kept, spans = [], []
+            for text, blobs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                words = (text.as_py() or "").encode().split()
+                a, b = covered(starts_in(blobs), WINDOW)
+                kept.append(b" ".join(w for x, y in zip([0, *b.tolist()], [*a.tolist(), len(words)], strict=True) for w in words[x:y]).decode())
+                spans.append([{"from": x, "to": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+            yield pa.record_batch([batch.column(0), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["node", "kept", "spans"])
 
     span = "array<struct<from:bigint,to:bigint>>"
-    single = texts.join(found, "node", "left").where("n = 1").select("node", "text", "blob")
-    solved = single.mapInArrow(run, f"node binary, n_removed long, kept_sha256 string, spans {span}")
+    cut_up = windows_by_text(texts, found).where("n = 1 and blobs is not null").select("node", "text", "blobs").mapInArrow(run, f"node binary, kept string, spans {span}")
     words = F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")
-    rows = docs.select("id", text_key(F.col("text"), F.col("id")).alias("node"), words.alias("w"))
-    n = F.size("w").cast("long")
-    rows = rows.select("id", "node", n.alias("n_words"), F.sha2(F.when(n < WINDOW, F.array_join("w", " ")).otherwise(""), 256).alias("sha"))
-    out = rows.join(solved, "node", "left")
+    rows = docs.select("id", text_key(F.coalesce("text", F.lit("")), F.lit(0)).alias("node"), words.alias("w"))
+    rows = rows.select("id", "node", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("all"))
+    many = texts.where("n > 1").select("node").withColumn("many", F.lit(True))
+    out = rows.join(cut_up, "node", "left").join(many, "node", "left")
     # a text of several rows: each window of it is in the others
-    gone = F.when(F.col("n_words") >= WINDOW, F.col("n_words")).otherwise(0)
-    whole = F.when(gone > 0, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))).otherwise(F.expr(f"cast(array() as {span})"))
-    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", gone).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), F.coalesce("spans", whole).alias("spans"))
-    return out if spans else out.drop("spans")
+    whole = F.col("many").isNotNull() & (F.col("n_words") >= WINDOW)
+    spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {span})")))
+    return out.select(F.col("id").alias(id_col), "n_words", F.when(whole, "").otherwise(F.coalesce("kept", "all")).alias("kept"), spans.alias("spans"))
 
 
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeated_words(table(spark, sf_dir, "documents"))
+    out = without_repeated_words(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["to"] - s["from"])
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""

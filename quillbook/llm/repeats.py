@@ -10,6 +10,10 @@ that it is the anchor of. In three steps:
    shard: its windows go one by one, by the hash of their whole content, which differs wherever the windows do;
 3. the kernel's answers go back to the chunk of texts that asked, and from there to the documents.
 
+What may be hot, the counts of anchors and the windows of hot anchors, is settled in two steps (`in_two_steps`): chunks are
+dealt over salts, each salt of a shard merges what its chunks have in common, and only what is distinct there meets by
+shard. So a passage in a third of all documents is one record a chunk in its salt, and one a salt in its shard.
+
 Texts that are equal are one row from the start. Within a chunk equal segments are one, so copies don't meet in a shard.
 The table of texts is bucketed by their key, so that later joins with it move the answers only.
 """
@@ -31,8 +35,12 @@ from quillbook.llm.shingles import chunks, mix
 
 HOT = 1000
 CHUNK_BYTES = 2_000_000
-#: Bytes of all texts for each shard; what repeats of them is a shard's share, in memory at once.
+#: Bytes of all texts for each shard; what repeats of them is a shard's share.
 SHARD_BYTES = 4_000_000
+#: Bytes of all texts for each salt: about a thousand chunks.
+SALT_BYTES = 2_000_000_000
+#: Bytes of all texts for each shuffle partition, so that tasks don't grow with the input.
+TASK_BYTES = 32_000_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -94,6 +102,16 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(16)) % np.uint64(shards)).astype(np.int64)
 
 
+def _code(h: np.ndarray, shards: int) -> np.ndarray:
+    """What tells the anchors of a shard apart: 32 bits that the shard's number doesn't use. Two that have one by chance are
+    taken for repeats, and the kernel finds that they aren't."""
+    return ((h >> np.uint64(16)) // np.uint64(shards)).astype(np.uint32)
+
+
+def _named(code: np.ndarray, shard: np.ndarray | int) -> np.ndarray:
+    return (code.astype(np.uint64) << np.uint64(32)) | np.asarray(shard).astype(np.uint64)
+
+
 def _pack(**arrays: np.ndarray) -> bytes:
     return b"".join(np.int64(len(a)).tobytes() + np.dtype(a.dtype).str.encode().ljust(8) + a.tobytes() for a in arrays.values())
 
@@ -115,12 +133,22 @@ def _home(nodes: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b"".join(nodes)) >> 1
 
 
-_ROWS = "shard long, home long, blob binary"
+_ROWS = "shard long, salt long, home long, blob binary"
+
+
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.record_batch([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["shard", "salt", "home", "blob"])
+
+
+def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([_rows(rows)])
 
 
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["shard", "home", "blob"])
+def _blobs(group: pa.Table) -> tuple[list[int], list[list[np.ndarray]]]:
+    """Homes and unpacked blobs of a group, in the order of their homes, whatever order they came in."""
+    rows = sorted(zip(group.column("home").to_pylist(), group.column("blob").to_pylist(), strict=True))
+    return [h for h, _ in rows], [_unpack(b) for _, b in rows]
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -131,6 +159,11 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(shard[part[0]]), part
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each stretch, in a row."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+
+
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a text, as a table bucketed by its key: node, least (smallest id, null ids last), n, text."""
     spark = docs.sparkSession
@@ -142,27 +175,61 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
-def _answered(replies: DataFrame, per_home: Callable[[list[bytes]], list[tuple[bytes, bytes]]]) -> DataFrame:
-    """(node, blob) from all blobs of a home, its own record (of a negative shard) first."""
+def in_two_steps(dealt: DataFrame, partial: Callable, judge: Callable, reply: Callable) -> DataFrame:
+    """Replies (shard, salt, home, blob) to rows that are dealt by (shard, salt).
+
+    partial(blobs of a salt) gives what the salt sends on; judge(what each salt of the shard sent) a verdict for each; and
+    reply(blobs, verdict) an answer for each home. Rows of a negative shard are a home's own and pass through. The rows are
+    shuffled once: both readings of them are the same exchange.
+    """
+
+    def first(group: pa.Table) -> pa.Table:
+        s, salt = group.column("shard")[0].as_py(), group.column("salt")[0].as_py()
+        return _table([] if s < 0 else [(s, salt, 0, partial(_blobs(group)[1]))])
+
+    def second(group: pa.Table) -> pa.Table:
+        s = group.column("shard")[0].as_py()
+        sent = sorted(zip(group.column("salt").to_pylist(), group.column("blob").to_pylist(), strict=True))
+        return _table([(s, salt, 0, v) for (salt, _), v in zip(sent, judge([_unpack(b) for _, b in sent]), strict=True)])
+
+    def third(group: pa.Table, verdict: pa.Table) -> pa.Table:
+        if not group.num_rows or group.column("shard")[0].as_py() < 0:
+            return group
+        homes, blobs = _blobs(group)
+        s = group.column("shard")[0].as_py()
+        return _table([(0, 0, home, b) for home, b in zip(homes, reply(s, blobs, _unpack(verdict.column("blob")[0].as_py())), strict=True) if b])
+
+    sent = dealt.groupBy("shard", "salt").applyInArrow(first, _ROWS)
+    verdicts = sent.groupBy("shard").applyInArrow(second, _ROWS)
+    return dealt.groupBy("shard", "salt").cogroup(verdicts.groupBy("shard", "salt")).applyInArrow(third, _ROWS)
+
+
+def _answered(replies: DataFrame, parts: int, per_home: Callable[[list[bytes]], list[tuple[bytes, bytes, bool]]]) -> DataFrame:
+    """(node, blob, flag) from all blobs of a home, its own record (of a negative shard) first."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("shard").to_pylist(), group.column("blob").to_pylist(), strict=True), key=lambda x: x[0])
         out = per_home([b for _, b in rows])
-        return pa.table({"node": pa.array([n for n, _ in out], pa.binary()), "blob": pa.array([b for _, b in out], pa.binary())})
+        node, blob, flag = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({"node": pa.array(node, pa.binary()), "blob": pa.array(blob, pa.binary()), "flag": pa.array(flag, pa.bool_())})
 
-    return replies.groupBy("home").applyInArrow(run, "node binary, blob binary")
+    return replies.repartition(parts, "home").groupBy("home").applyInArrow(run, "node binary, blob binary, flag boolean")
 
 
-def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], settle: Callable[..., np.ndarray]) -> DataFrame:
-    """(node, blob) for texts (node, least, text) with windows that the kernel answers for; blob packs their starts.
+def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], settle: Callable[..., np.ndarray]) -> DataFrame:
+    """(node, blob) for texts (node, least, text) with windows that the kernel answers for; blob packs their starts. A node
+    may have two rows, one for the windows of hot anchors.
 
-    kernel(units of all segments in a row, their lengths, least ids and routes) gives for each segment an int64 for each of
-    its windows; only segments of one route can share windows; settle(answers, ids, times) says which of the windows count: each with its answer, its document's id, and how often its
-    segment is in the chunk of texts, where equal segments are one.
+    kernel(units of all segments in a row, their lengths, their answers so far, routes) gives for each segment an int64 for
+    each of its windows; only segments of one route can share windows. merge(answer, answer so far) is the answer of both.
+    At first a segment's answer is its document's id. settle(answers, ids, times) says which of the windows count: each
+    with its answer, its document's id, and how often its segment is in the chunk of texts, where equal segments are one.
     """
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(64, -(-total // SHARD_BYTES))
-    raw_type = np.dtype(units.raw)
+    shards, salts = max(64, -(-total // SHARD_BYTES)), max(1, -(-total // SALT_BYTES))
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    raw_type, hot_above = np.dtype(units.raw), HOT
+    width = raw_type.itemsize
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,93 +246,125 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
                 keep[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
                 twice = np.add.reduceat((~keep | a["again"][order]).astype(np.int64), np.flatnonzero(keep)) > 0 if units.within else np.zeros(0, dtype=bool)
                 h, d = h[keep], d[keep].astype("<u2" if hi - lo <= 65536 else "<u4")
+                code = _code(h, shards)
                 for s, part in _by_shard(_shard(h, shards)):
-                    rows.append((s, home, _pack(h=h[part], d=d[part], twice=twice[part] if units.within else twice)))
-                yield _rows([*rows, (-1 - home, home, b"".join(nodes[lo:hi]))])
-
-    def find_repeated(group: pa.Table) -> pa.Table:
-        if group.column("shard")[0].as_py() < 0:  # a home's own record, on its way
-            return group
-        homes, blobs = group.column("home").to_pylist(), [_unpack(b) for b in group.column("blob").to_pylist()]
-        h = np.concatenate([b[0] for b in blobs])
-        d = np.concatenate([b[1] for b in blobs])
-        of = np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
-        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        use = n > 1
-        if units.within:
-            use |= np.bincount(back, np.concatenate([b[2] for b in blobs]), len(n)) > 0
-        use = use[back]
-        h, d, of, hot = h[use], d[use], of[use], (n > HOT)[back[use]]
-        rows = [(homes[k], _pack(h=h[part], d=d[part], hot=hot[part])) for k, part in _by_shard(of)]
-        return pa.table({"shard": pa.array([0] * len(rows), pa.int64()), "home": pa.array([x for x, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
-
-    def to_documents(blobs: list[bytes]) -> list[tuple[bytes, bytes]]:
+                    rows.append((s, home % salts, home, _pack(h=code[part], d=d[part], twice=twice[part] if units.within else twice)))
+                yield _rows([*rows, (-1 - home, 0, home, b"".join(nodes[lo:hi]))])
+
+    def counted(blobs: list[list[np.ndarray]]) -> bytes:
+        h, back, n = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True, return_counts=True)
+        if units.within:  # twice in one text is as good as two texts
+            n = np.maximum(n, 2 * (np.bincount(back, np.concatenate([b[2] for b in blobs]), len(h)) > 0))
+        return _pack(h=h, n=np.minimum(n, 65535).astype("<u2"))
+
+    def repeated_ones(sent: list[list[np.ndarray]]) -> list[bytes]:
+        h, back = np.unique(np.concatenate([b[0] for b in sent]), return_inverse=True)
+        n = np.bincount(back, np.concatenate([b[1] for b in sent]).astype(np.int64), len(h))[back]
+        out, at = [], 0
+        for b in sent:
+            mine = n[at : at + len(b[0])]
+            out.append(_pack(h=b[0][mine > 1], hot=(mine > hot_above)[mine > 1]))
+            at += len(b[0])
+        return out
+
+    def tell(shard: int, blobs: list[list[np.ndarray]], verdict: list[np.ndarray]) -> Iterator[bytes]:
+        known, hot = verdict
+        for h, d, _ in blobs:
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            use = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
+            yield _pack(h=_named(h[use], shard), d=d[use], hot=hot[at[use]]) if use.any() else b""
+
+    def to_documents(blobs: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
         if len(blobs) < 2:
             return []
         nodes = [blobs[0][i : i + 16] for i in range(0, len(blobs[0]), 16)]
         h, d, hot = (np.concatenate(x) for x in zip(*map(_unpack, blobs[1:]), strict=True))
-        return [(nodes[k], _pack(h=h[part], hot=hot[part])) for k, part in _by_shard(d.astype(np.int64))]
-
-    repeated = in_small_batches(texts.select("node", "text")).mapInArrow(send_anchors, _ROWS).groupBy("shard").applyInArrow(find_repeated, _ROWS)
-    mine = cut(_answered(repeated, to_documents), "repeated")
-
-    def send_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, ids, found, said = (batch.column(i).to_pylist() for i in range(4))
-            found = [(t or "").encode() for t in found]
-            for lo, hi in chunks(found, CHUNK_BYTES):
-                a = anchored(units, found[lo:hi])
-                if not len(a["start"]):
-                    continue
-                home, told = _home(nodes[lo:hi]), [_unpack(b) for b in said[lo:hi]]
-                # which runs have an anchor that their document was told of, and whether it is hot
-                pair = np.stack([np.concatenate([b[0] for b in told]), np.repeat(np.arange(len(told)), [len(b[0]) for b in told]).astype(np.uint64)])
-                code = mix(pair[0] + pair[1] * np.uint64(0x9E3779B97F4A7C15))
-                order = np.argsort(code)
-                own = mix(a["hash"] + a["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                at = np.minimum(np.searchsorted(code[order], own), len(code) - 1)
-                known = code[order][at] == own
-                hot = known & np.concatenate([b[1] for b in told])[order][at]
-                start, count, route, doc = (a[x][known & ~hot] for x in ("start", "count", "hash", "doc"))
-                size = count + units.window - 1
-                if hot.any():  # windows one by one, by their content
-                    n = a["count"][hot]
-                    one = np.repeat(a["start"][hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    content = units.content(a["raw"])[one]
-                    start, route, doc = np.concatenate([start, one]), np.concatenate([route, content]), np.concatenate([doc, np.repeat(a["doc"][hot], n)])
-                    size = np.concatenate([size, np.full(len(one), units.window)])
-                if not len(start):
-                    continue
-                by_text = np.array([NO_ID if i is None else i for i in ids[lo:hi]], dtype=np.int64)
-                flat = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-                units_flat, ends = a["raw"][flat], np.cumsum(size)
-                raw_bytes = units_flat.tobytes()
-                width = raw_type.itemsize
-                number: dict[tuple[int, bytes], int] = {}
-                of = np.array([number.setdefault((r, raw_bytes[(e - z) * width : e * width]), len(number)) for r, e, z in zip(route.tolist(), ends.tolist(), size.tolist(), strict=True)])
-                low = np.full(len(number), NO_ID, dtype=np.int64)
-                np.minimum.at(low, of, by_text[doc])
-                keys = list(number)
-                routes = np.array([r for r, _ in keys], dtype=np.uint64)
-                rows = [(-1 - home, home, _pack(start=start.astype("<u4"), doc=doc.astype("<u4"), of=of.astype("<u4"), n=(size - units.window + 1).astype("<u1"), ids=by_text, begins=np.searchsorted(a["unit_doc"], np.arange(hi - lo)), nodes=np.frombuffer(b"".join(nodes[lo:hi]), np.uint8)))]
-                for s, part in _by_shard(_shard(routes, shards)):
-                    rows.append((s, home, _pack(of=part.astype("<u4"), size=np.array([len(keys[i][1]) // width for i in part], dtype="<u1"), low=low[part], route=(routes[part] >> np.uint64(24)).astype("<u4"), units=np.frombuffer(b"".join(keys[i][1] for i in part), raw_type))))
-                yield _rows(rows)
+        return [(nodes[k], _pack(h=h[part], hot=hot[part]), bool(hot[part].any())) for k, part in _by_shard(d.astype(np.int64))]
+
+    anchors = in_small_batches(texts.select("node", "text")).mapInArrow(send_anchors, _ROWS).repartition(parts, "shard", "salt")
+    mine = cut(_answered(in_two_steps(anchors, counted, repeated_ones, tell), parts, to_documents), "repeated")
+
+    def send(hot_ones: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The segments around anchors that aren't hot, or the single windows around those that are."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                nodes, ids, found, said = (batch.column(i).to_pylist() for i in range(4))
+                found = [(t or "").encode() for t in found]
+                for lo, hi in chunks(found, CHUNK_BYTES):
+                    a = anchored(units, found[lo:hi])
+                    if not len(a["start"]):
+                        continue
+                    home, told = _home(nodes[lo:hi]), [_unpack(b) for b in said[lo:hi]]
+                    # which runs have an anchor that their document was told of
+                    ask = [b[1] == hot_ones for b in told]
+                    text = np.repeat(np.arange(len(told)), [int(x.sum()) for x in ask]).astype(np.uint64)
+                    if not len(text):
+                        continue
+                    code = np.sort(mix(np.concatenate([b[0][x] for b, x in zip(told, ask, strict=True)]) + text * np.uint64(0x9E3779B97F4A7C15)))
+                    own = mix(_named(_code(a["hash"], shards), _shard(a["hash"], shards)) + a["doc"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    use = code[np.minimum(np.searchsorted(code, own), len(code) - 1)] == own
+                    start, count, route, doc = (a[x][use] for x in ("start", "count", "hash", "doc"))
+                    if hot_ones:  # windows one by one, by their content
+                        one = _places(start, count)
+                        start, route, doc, count = one, units.content(a["raw"])[one], np.repeat(doc, count), np.ones(len(one), dtype=np.int64)
+                    if not len(start):
+                        continue
+                    size = count + units.window - 1
+                    by_text = np.array([NO_ID if i is None else i for i in ids[lo:hi]], dtype=np.int64)
+                    raw_bytes, ends = a["raw"][_places(start, size)].tobytes(), np.cumsum(size)
+                    number: dict[tuple[int, bytes], int] = {}
+                    of = np.array([number.setdefault((r, raw_bytes[(e - z) * width : e * width]), len(number)) for r, e, z in zip(route.tolist(), ends.tolist(), size.tolist(), strict=True)])
+                    low = np.full(len(number), NO_ID, dtype=np.int64)
+                    np.minimum.at(low, of, by_text[doc])
+                    keys = list(number)
+                    routes = np.array([r for r, _ in keys], dtype=np.uint64)
+                    rows = [(-1 - home, 0, home, _pack(start=start.astype("<u4"), doc=doc.astype("<u4"), of=of.astype("<u4"), n=count.astype("<u1"), ids=by_text, begins=np.searchsorted(a["unit_doc"], np.arange(hi - lo)), nodes=np.frombuffer(b"".join(nodes[lo:hi]), np.uint8)))]
+                    for s, part in _by_shard(_shard(routes, shards)):
+                        rows.append((s, home % salts if hot_ones else 0, home, _pack(of=part.astype("<u4"), size=np.array([len(keys[i][1]) // width for i in part], dtype="<u1"), low=low[part], route=_code(routes[part], shards), units=np.frombuffer(b"".join(keys[i][1] for i in part), raw_type))))
+                    yield _rows(rows)
+
+        return run
+
+    def asked(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.concatenate([b[4] for b in blobs]), np.concatenate([b[1] for b in blobs]).astype(np.int64), np.concatenate([b[2] for b in blobs]), np.concatenate([b[3] for b in blobs])
+
+    def answers_by_home(blobs: list[list[np.ndarray]], answers: np.ndarray) -> Iterator[bytes]:
+        at = np.cumsum([0, *(int(b[1].astype(np.int64).sum()) - (units.window - 1) * len(b[1]) for b in blobs)])
+        for k, b in enumerate(blobs):
+            part = answers[at[k] : at[k + 1]]
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # neighbours mostly have one answer
+            yield _pack(of=b[0], size=b[1], answer=part[first], times=np.diff(np.append(first, len(part))).astype("<u4"))
 
     def run_kernel(group: pa.Table) -> pa.Table:
         if group.column("shard")[0].as_py() < 0:
             return group
-        homes, blobs = group.column("home").to_pylist(), [_unpack(b) for b in group.column("blob").to_pylist()]
-        sizes = np.concatenate([b[1] for b in blobs]).astype(np.int64)
-        answers = kernel(np.concatenate([b[4] for b in blobs]), sizes, np.concatenate([b[2] for b in blobs]), np.concatenate([b[3] for b in blobs]))
-        edge, at, rows = np.cumsum([0, *(len(b[1]) for b in blobs)]), np.cumsum([0, *(sizes - units.window + 1)]), []
-        for k, home in enumerate(homes):
-            part = answers[at[edge[k]] : at[edge[k + 1]]]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # neighbours mostly have one answer
-            rows.append((home, _pack(of=blobs[k][0], size=blobs[k][1], answer=part[first], times=np.diff(np.append(first, len(part))).astype("<u4"))))
-        return pa.table({"shard": pa.array([0] * len(rows), pa.int64()), "home": pa.array([x for x, _ in rows], pa.int64()), "blob": pa.array([x for _, x in rows], pa.binary())})
-
-    def to_windows(blobs: list[bytes]) -> list[tuple[bytes, bytes]]:
+        homes, blobs = _blobs(group)
+        return _table([(0, 0, home, b) for home, b in zip(homes, answers_by_home(blobs, kernel(*asked(blobs))), strict=True)])
+
+    def distinct_windows(blobs: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """The kinds of single windows in these blobs: a place of each, and the kind of each window, in order."""
+        raw = np.concatenate([b[4] for b in blobs]).tobytes()
+        step, number = units.window * width, {}
+        of = np.array([number.setdefault(raw[i : i + step], len(number)) for i in range(0, len(raw), step)], dtype=np.int64)
+        one = np.empty(len(number), dtype=np.int64)
+        one[of] = np.arange(len(of))
+        return one, of
+
+    def windows_of_salt(blobs: list[list[np.ndarray]]) -> bytes:
+        raw, sizes, low, route = asked(blobs)
+        one, _ = distinct_windows(blobs)
+        return _pack(units=raw.reshape(-1, units.window)[one].ravel(), low=kernel(raw, sizes, low, route)[one], route=route[one])
+
+    def windows_of_shard(sent: list[list[np.ndarray]]) -> list[bytes]:
+        raw, low, route = (np.concatenate(x) for x in zip(*sent, strict=True))
+        answers = merge(kernel(raw, np.full(len(low), units.window, dtype=np.int64), low, route), low)
+        return [_pack(answer=a) for a in np.split(answers, np.cumsum([len(b[1]) for b in sent])[:-1])]
+
+    def tell_windows(shard: int, blobs: list[list[np.ndarray]], verdict: list[np.ndarray]) -> Iterator[bytes]:
+        return answers_by_home(blobs, verdict[0][distinct_windows(blobs)[1]])
+
+    def to_windows(blobs: list[bytes]) -> list[tuple[bytes, bytes, bool]]:
         start, doc, of, n, ids, begins, nodes = _unpack(blobs[0])
         got = [_unpack(b) for b in blobs[1:]]
         if not got:
@@ -276,14 +375,28 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         wins = size.astype(np.int64) - units.window + 1
         first = np.zeros(int(number.max()) + 1, dtype=np.int64)
         first[number] = np.cumsum(wins) - wins
-        flat = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        counts = settle(answer[np.repeat(first[of], n) + flat], np.repeat(ids[doc], n), np.repeat(np.bincount(of)[of], n))
-        at, owner = (np.repeat(start, n) + flat)[counts], np.repeat(doc, n)[counts]
+        counts = settle(answer[_places(first[of], n)], np.repeat(ids[doc], n), np.repeat(np.bincount(of)[of], n))
+        at, owner = _places(start, n)[counts], np.repeat(doc, n)[counts]
         raw_nodes = nodes.tobytes()
-        return [(raw_nodes[16 * k : 16 * k + 16], _pack(at=np.sort(at[part]) - begins[k])) for k, part in _by_shard(owner)]
+        return [(raw_nodes[16 * k : 16 * k + 16], _pack(at=np.sort(at[part]) - begins[k]), False) for k, part in _by_shard(owner)]
+
+    told = texts.join(mine, "node")
+    cold = told.select("node", "least", "text", "blob").mapInArrow(send(False), _ROWS).repartition(parts, "shard").groupBy("shard").applyInArrow(run_kernel, _ROWS)
+    with_hot = told.where("flag").select("node", "least", "text", "blob")
+    hot = in_two_steps(with_hot.mapInArrow(send(True), _ROWS).repartition(parts, "shard", "salt"), windows_of_salt, windows_of_shard, tell_windows)
+    # a home's records of the two kinds are apart, since each has its own numbering of segments
+    return cut(_answered(cold, parts, to_windows).unionAll(_answered(hot, parts, to_windows)).select("node", "blob"), "windows")
+
+
+def windows_by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """texts with found's blobs (one or two a node) as an array of blobs, null for texts without."""
+    once = found.groupBy("node").agg(F.collect_list("blob").alias("blobs"))  # two at most
+    return texts.join(once, "node", "left")
+
 
-    segments = texts.join(mine, "node").select("node", "least", "text", "blob").mapInArrow(send_segments, _ROWS)
-    return cut(_answered(segments.groupBy("shard").applyInArrow(run_kernel, _ROWS), to_windows), "windows")
+def starts_in(blobs: list[bytes]) -> np.ndarray:
+    """Sorted distinct starts of windows from a text's blobs."""
+    return np.unique(np.concatenate([_unpack(b)[0] for b in blobs]))
 
 
 def covered(starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

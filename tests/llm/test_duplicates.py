@@ -154,57 +154,156 @@ def planted(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_bytes_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.fixture(params=["plain", "hot", "salted"])
+def routes(request, monkeypatch):
+    """Anchors go by their segments, or by single windows, or by those over many salts and chunks."""
+    if request.param != "plain":
+        monkeypatch.setattr(repeats, "HOT", 3)
+    if request.param == "salted":
+        for name, size in (("CHUNK_BYTES", 3000), ("SHARD_BYTES", 1000), ("SALT_BYTES", 15_000)):
+            monkeypatch.setattr(repeats, name, size)
+
+
+def spans_fit(raw, kept, spans, join):
+    out, at = [], 0
+    for s in spans:
+        assert s["from"] >= at and s["to"] > s["from"]
+        out.append(raw[at : s["from"]])
+        at = s["to"]
+    return join([*out, raw[at:]]) == kept
+
+
+def by_bytes(df, texts):
+    out = {}
+    for r in suffixes.without_copied_bytes(df).collect():
+        assert spans_fit((texts[r.doc_id] or "").encode(), bytes(r.kept), r.spans, b"".join)
+        out[r.doc_id] = (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest())
+    return out
+
+
+def by_words(df, texts):
+    out = {}
+    for r in relative_lz.without_repeated_words(df).collect():
+        assert spans_fit(WORD.findall(texts[r.doc_id] or ""), r.kept, r.spans, lambda parts: " ".join(w for p in parts for w in p))
+        out[r.doc_id] = (r.n_words, sum(s["to"] - s["from"] for s in r.spans), hashlib.sha256(r.kept.encode()).hexdigest())
+    return out
+
+
+def test_bytes_against_brute_force(spark, routes):
     rows = planted()
-    got = {(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_copied_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: v for (i, _), v in brute_bytes(rows).items()}
+    assert by_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), dict(rows)) == {i: v for (i, _), v in brute_bytes(rows).items()}
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_words_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+def test_words_against_brute_force(spark, routes):
     rows = planted(4)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in relative_lz.without_repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: v for (i, _), v in brute_words(rows).items()}
+    assert by_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), dict(rows)) == {i: v for (i, _), v in brute_words(rows).items()}
 
 
-def test_spans_are_what_was_removed(spark):
-    rows = planted(5)
-    texts = dict(rows)
-    for r in suffixes.without_copied_bytes(spark.createDataFrame(rows, "doc_id long, text string"), spans=True).collect():
-        b, kept, at = texts[r.doc_id].encode(), b"", 0
-        for s in r.spans:
-            kept, at = kept + b[at : s["from"]], s["to"]
-        assert hashlib.sha256(kept + b[at:]).hexdigest() == r.kept_sha256 and len(r.spans) == r.n_spans
+def test_ids_that_are_strings(spark):
+    rows = [(f"d{i}", t) for i, t in planted(4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert by_words(df, dict(rows)) == {i: v for (i, _), v in brute_words([(i, t) for i, t in rows]).items()}
+    with pytest.raises(ValueError):
+        suffixes.without_copied_bytes(df)
+
+
+def test_byte_and_word_queries_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for query, sql in ((suffixes.op6_induced_suffixes, suffixes.OP6_SQL), (relative_lz.op10_relative_lz, relative_lz.OP10_SQL)):
+        df = query(spark, SF)
+        want = con.sql(f"select {', '.join(df.columns)} from ({sql})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
 
 
 def test_removal_from_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     small = [(i, t) for i, t in rows if i != 3]
     df = odd(spark).where("doc_id is null or doc_id <> 3")
-    by_bytes, by_words = brute_bytes(small), brute_words(small)
-    assert sorted(map(str, ((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.without_copied_bytes(df).collect()))) == sorted(str(by_bytes[i, t]) for i, t in small)
-    assert sorted(map(str, ((r.n_words, r.n_removed, r.kept_sha256) for r in relative_lz.without_repeated_words(df).collect()))) == sorted(str(by_words[i, t]) for i, t in small)
+    bytes_, words = brute_bytes(small), brute_words(small)
+    assert sorted((r.n_bytes, r.n_bytes - len(r.kept), len(r.spans)) for r in suffixes.without_copied_bytes(df).collect()) == sorted(bytes_[i, t][:3] for i, t in small)
+    assert sorted((r.n_words, hashlib.sha256(r.kept.encode()).hexdigest()) for r in relative_lz.without_repeated_words(df).collect()) == sorted((words[i, t][0], words[i, t][2]) for i, t in small)
     assert suffixes.without_copied_bytes(odd(spark)).count() == relative_lz.without_repeated_words(odd(spark)).count() == 11
     assert suffixes.without_copied_bytes(empty(spark)).collect() == [] and relative_lz.without_repeated_words(empty(spark)).collect() == []
 
 
-def test_suffix_order_with_and_without_spilling():
+@pytest.mark.parametrize("memory,block", [(10**9, 1 << 17), (500, 64)])
+def test_suffix_order_and_shared_bytes(monkeypatch, memory, block):
+    monkeypatch.setattr(suffixes, "BLOCK", block)
     rng = np.random.default_rng(1)
-    for memory in (10**9, 500):
-        t = np.concatenate([np.append(rng.integers(1, 4, rng.integers(1, 300)), 0) for _ in range(6)]).astype(np.uint8)
-        order = np.concatenate(list(suffixes.induced_order(t, suffixes.words_of(t), 50, memory)))
-        raw = t.tobytes()
-        cut = [raw[i : i + 50].split(b"\0")[0] for i in order]
-        assert cut == sorted(cut) and len(set(order.tolist())) == len(order) >= len(t) - 1
-
-
-def test_factors_are_long_matches_with_their_source():
+    for trial in range(8):
+        parts = [rng.integers(1, 2 + trial % 4, rng.integers(1, 200)) for _ in range(5)]
+        parts += [parts[0], parts[1][:50], np.full(90, 2), np.full(60, 2)]
+        t = np.concatenate([np.append(p, 0) for p in parts]).astype(np.uint8)
+        got = list(suffixes.induced_order(t, 50, memory))
+        order, shared = (np.concatenate(x).tolist() for x in zip(*got, strict=True))
+        assert sorted(order) == list(range(len(t) - 1))
+        cut = [t.tobytes()[i : i + 50] for i in order]
+        assert cut == sorted(cut, reverse=True)
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert shared == [0, *(common(a, b) for a, b in zip(cut, cut[1:], strict=False))]
+
+
+def test_a_shard_of_ten_times_the_memory():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(50, 90, 6000)
+    pool = rng.integers(97, 123, (40, 90)).astype(np.uint8)
+    units = np.concatenate([np.roll(pool[rng.integers(40)], -rng.integers(9))[:n] if rng.random() < 0.5 else rng.integers(97, 123, n).astype(np.uint8) for n in sizes])
+    low = rng.permutation(6000)
+    limit = int(sizes.sum()) // 10
+    queue, made = suffixes.SuffixQueue, []
+
+    class Watched(queue):
+        def __init__(self, memory):
+            super().__init__(memory)
+            made.append(self)
+
+        def push(self, *args):
+            super().push(*args)
+            assert self.held <= limit
+
+    suffixes.SuffixQueue = Watched
+    try:
+        few = suffixes.sorted_least(units, sizes, low, limit)
+    finally:
+        suffixes.SuffixQueue = queue
+    assert sum(q.spills for q in made) > 3
+    assert (few == suffixes.sorted_least(units, sizes, low)).all()
+    first, want = {}, []
+    at = np.cumsum(sizes) - sizes
+    strings = [units[a + k : a + k + 50].tobytes() for a, n in zip(at, sizes, strict=True) for k in range(n - 49)]
+    owner = np.repeat(low, sizes - 49)
+    for s, o in zip(strings, owner.tolist(), strict=True):
+        first[s] = min(o, first.get(s, o))
+    want = [first[s] for s in strings]
+    assert few.tolist() == want
+
+
+def test_factors_are_greedy_and_windows_over_their_ends_are_found():
     rng = np.random.default_rng(3)
     base = rng.integers(1, 10**6, 400).astype(np.uint64)
-    block = np.concatenate([base[:100], base[20:90], base[200:300], base[150:280]])
-    sizes = np.array([100, 70, 100, 130])
-    start, length, source = relative_lz.parse(block, sizes)
-    assert len(start) >= 4 and all(n >= 35 and (block[a : a + n] == block[s : s + n]).all() and a != s for a, n, s in zip(start, length, source, strict=True))
+    segments = [base[:100], base[20:90], base[200:300], base[150:280], base[60:100], np.concatenate([base[80:100], base[200:230]]), base[330:380], np.tile(base[390:393], 20)]
+    block, sizes = np.concatenate(segments), np.array([len(s) for s in segments])
+    index = relative_lz.Block(block, sizes)
+    start, length, source = relative_lz.parse(index)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    assert start[0] == 0 and (start[1:] == start[:-1] + length[:-1]).all() and start[-1] + length[-1] == len(block)
+
+    def longest(p):
+        best = 0
+        for q in range(len(block)):
+            n = 0
+            while q != p and max(p, q) + n < len(block) and owner[p + n] == owner[p] and owner[q + n] == owner[q] and block[p + n] == block[q + n]:
+                n += 1
+            best = max(best, n)
+        return best
+
+    for a, n, s in zip(start.tolist(), length.tolist(), source.tolist(), strict=True):
+        want = longest(a)
+        assert n == max(1, want) and (s == -1) == (want == 0)
+        assert s == -1 or (s != a and (block[a : a + n] == block[s : s + n]).all())
+    windows = [tuple(s[k : k + 35].tolist()) for s in segments for k in range(len(s) - 34)]
+    count = Counter(windows)
+    assert relative_lz.elsewhere(block, sizes, None, None).tolist() == [int(count[w] > 1) for w in windows]

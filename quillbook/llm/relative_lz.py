@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import SPACE, table
+from quillbook.llm.common import table
 from quillbook.llm.neardup import text_key
 from quillbook.llm.repeats import Units, covered, distinct_texts, shared_windows, starts_in, windows_by_text
 from quillbook.llm.shingles import window_hashes, word_hashes
@@ -120,15 +120,16 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     span = "array<struct<from:bigint,to:bigint>>"
     cut_up = windows_by_text(texts, found).where("n = 1 and blobs is not null").select("node", "text", "blobs").mapInArrow(run, f"node binary, kept string, spans {span}")
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE), "")
-    rows = docs.select("id", text_key(F.coalesce("text", F.lit("")), F.lit(0)).alias("node"), words.alias("w"))
-    rows = rows.select("id", "node", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("all"))
-    many = texts.where("n > 1").select("node").withColumn("many", F.lit(True))
-    out = rows.join(cut_up, "node", "left").join(many, "node", "left")
-    # a text of several rows: each window of it is in the others
-    whole = F.col("many").isNotNull() & (F.col("n_words") >= WINDOW)
+    # one row a text, from the bucketed table: only ids and what was cut move to it
+    spaced = F.translate("text", "\t\n\x0b\x0c\r", " " * 5)
+    spaced = F.trim(F.when(F.instr(spaced, "  ") > 0, F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
+    solved = texts.join(cut_up, "node", "left").withColumn("all", spaced)
+    solved = solved.withColumn("n_words", F.when(F.col("all") == "", 0).otherwise(F.char_length("all") - F.char_length(F.replace(F.col("all"), F.lit(" "))) + 1).cast("long"))
+    whole = (F.col("n") > 1) & (F.col("n_words") >= WINDOW)  # each window of the text is in its other rows
     spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {span})")))
-    return out.select(F.col("id").alias(id_col), "n_words", F.when(whole, "").otherwise(F.coalesce("kept", "all")).alias("kept"), spans.alias("spans"))
+    solved = solved.select("node", "n_words", F.when(whole, "").otherwise(F.coalesce("kept", "all")).alias("kept"), spans.alias("spans"))
+    rows = docs.select(F.col("id").alias("row id"), text_key(F.coalesce("text", F.lit("")), F.lit(0)).alias("node"))
+    return solved.join(rows.hint("shuffle_hash"), "node").select(F.col("row id").alias(id_col), "n_words", "kept", "spans")
 
 
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import table
+from quillbook.llm.common import cut, table
 from quillbook.llm.neardup import text_key
 from quillbook.llm.repeats import Units, covered, distinct_texts, shared_windows, starts_in, windows_by_text
 from quillbook.llm.shingles import window_hashes, word_hashes
@@ -104,9 +104,9 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
     columns of docs, whatever their names, are left out.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = distinct_texts(docs.select(F.lit(0).cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", "text")
+    texts = distinct_texts(docs.select("id", F.coalesce("text", F.lit("")).alias("text")), "id", "text")
     units = Units(WINDOW, 6, "<u8", word_hashes, lambda w: window_hashes(w, 6), lambda w: window_hashes(w, WINDOW), within=True)
-    found = shared_windows(texts, units, elsewhere, np.maximum, lambda there, ids, times: (there > 0) | (times > 1))
+    found = shared_windows(texts.withColumn("least", F.lit(0).cast("long")), units, elsewhere, np.maximum, lambda there, ids, times: (there > 0) | (times > 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +127,12 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
     solved = solved.withColumn("n_words", F.when(F.col("all") == "", 0).otherwise(F.char_length("all") - F.char_length(F.replace(F.col("all"), F.lit(" "))) + 1).cast("long"))
     whole = (F.col("n") > 1) & (F.col("n_words") >= WINDOW)  # each window of the text is in its other rows
     spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {span})")))
-    solved = solved.select("node", "n_words", F.when(whole, "").otherwise(F.coalesce("kept", "all")).alias("kept"), spans.alias("spans"))
-    rows = docs.select(F.col("id").alias("row id"), text_key(F.coalesce("text", F.lit("")), F.lit(0)).alias("node"))
-    return solved.join(rows.hint("shuffle_hash"), "node").select(F.col("row id").alias(id_col), "n_words", "kept", "spans")
+    solved = solved.select("node", "least", "n", "n_words", F.when(whole, "").otherwise(F.coalesce("kept", "all")).alias("kept"), spans.alias("spans"))
+    # a text of one row is that row; copies are found by their text, in a join that can split a large group
+    alone = solved.where("n = 1").select(F.col("least").alias(id_col), "n_words", "kept", "spans")
+    rows = docs.select(F.col("id").alias("row id"), text_key(F.coalesce("text", F.lit("")), F.col("id")).alias("node"))
+    copies = rows.join(cut(solved.where("n > 1").drop("least", "n"), "copies"), "node").select(F.col("row id").alias(id_col), "n_words", "kept", "spans")
+    return alone.unionAll(copies)
 
 
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,23 @@
-"""Near-duplicate classes: DartMinHash signatures, banded; candidates are checked exactly.
-
-DartMinHash throws darts at the region of each element: weight along one side, rank along the other, in unit cells that
-hold a Poisson number of darts made from the cell's hash alone. Darts beyond the element's weight or the rank bound miss.
-Each dart falls to one of K coordinates, and the one of least rank is that coordinate's value. Two sets agree in a
-coordinate with the probability of their weighted Jaccard similarity; the rank bound shrinks with a set's total weight, so
-the work per text is about K log K darts plus its size.
-
-Texts that are equal are one node. In each bucket of a band the nodes are compared with one of them, the least by a hash,
-so a large group of copies is connected by a few stars. Groups of candidates that this leaves in several
-pieces are compared in full, piece against piece, in bounded units that give no pairs but the links that join pieces.
+"""Near-duplicate classes: DartMinHash signatures of weighted shingle sets, banded; candidates are checked exactly.
+
+A shingle that a text has c times weighs 1 + ln c, so the similarity of two texts, the weighted Jaccard similarity, is that of
+their sets unless shingles repeat. DartMinHash throws darts at the region of each element: weight along one side, rank along
+the other, in unit cells that hold a Poisson number of darts made from the cell's hash alone. Darts beyond the element's
+weight or the rank bound miss. Each dart falls to one of K coordinates, and the one of least rank is that coordinate's
+value. Two sets agree in a coordinate with the probability of their weighted Jaccard similarity; the rank bound shrinks with
+a set's total weight, so the work per text is about K log K darts plus its size.
+
+Texts that are equal are one node, and buckets of a band with the same nodes are one bucket. In each bucket the nodes are
+compared with one of them, in ROUNDS rounds: buckets that the links found so far leave in several pieces pick anew, and what
+is in the pick's own piece isn't compared again. So a large group of copies is connected by a few stars. Buckets that are
+still in pieces then are compared in full, piece against piece, in bounded units that give no pairs but the links that join
+pieces. Only nodes that share a bucket ever meet in a unit, never those that unchecked candidates connect.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import cut, in_small_batches, table
+from quillbook.llm.common import cut, in_small_batches, scratch, table
 from quillbook.llm.components import components
 from quillbook.llm.shingles import chunks, mix, shingle_sets
 
 BANDS, ROWS = 25, 5
+#: Comparisons with a pick of each bucket before those still in pieces are compared in full.
+ROUNDS = 2
 K = BANDS * ROWS
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -109,9 +114,9 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = [(t.as_py() or "").encode() for t in batch.column(2)]
             bands: list[list[int]] = []
             for lo, hi in chunks(texts, SKETCH_BYTES):
-                element, doc, _ = shingle_sets(texts[lo:hi], SHINGLE)
+                element, doc, times = shingle_sets(texts[lo:hi], SHINGLE)
                 some = np.bincount(doc, minlength=hi - lo) > 0
-                found = band_hashes(signatures(element, doc, np.ones(len(element)), hi - lo)).view(np.int64)
+                found = band_hashes(signatures(element, doc, 1 + np.log(times), hi - lo)).view(np.int64)
                 bands += [row.tolist() if s else [] for row, s in zip(found, some, strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["id", "node", "bands"])
 
@@ -120,21 +125,38 @@ def sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return in_small_batches(side).mapInArrow(run, f"id {kind}, node binary, bands array<long>")
 
 
+def layered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Elements, text numbers and weights, where a shingle's k-th occurrence is an element of its own of weight ln k - ln(k - 1),
+    the first of weight 1. What two texts have in common then weighs the same in both, and is found as a plain intersection."""
+    element, doc, times = shingle_sets(texts, SHINGLE)
+    of = np.repeat(np.arange(len(element)), times)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    with np.errstate(divide="ignore", over="ignore"):
+        weight = np.where(k > 0, np.log1p(1 / np.maximum(k, 1)), 1.0)
+        return np.where(k > 0, mix(element[of] + k.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), element[of]), doc[of], weight
+
+
+def near_enough(both: np.ndarray | float, a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray | bool:
+    return both >= SIMILARITY * (a + b - both) - 1e-9
+
+
 @lru_cache(maxsize=64)
-def _set(text: str) -> np.ndarray:
-    return shingle_sets([text.encode()], SHINGLE)[0]
+def _set(text: str) -> tuple[np.ndarray, np.ndarray]:
+    element, _, weight = layered([text.encode()])
+    order = np.argsort(element)
+    return element[order], weight[order]
 
 
 def compared(pairs: DataFrame) -> DataFrame:
-    """a, b and whether their texts (text_a, text_b) are alike: the exact Jaccard similarity of their shingle sets."""
+    """a, b and whether their texts (text_a, text_b) are alike: the exact similarity of their weighted shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _set(x.as_py()), _set(y.as_py())
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= SIMILARITY * (len(x) + len(y) - both))
+                (x, wx), (y, wy) = _set(x.as_py()), _set(y.as_py())
+                _, at, _ = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                near.append(bool(near_enough(wx[at].sum(), wx.sum(), wy.sum())))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
     return in_small_batches(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(run, "a long, b long, near boolean")
@@ -142,22 +164,22 @@ def compared(pairs: DataFrame) -> DataFrame:
 
 def alike(texts: list[bytes], columns: int = 4096) -> np.ndarray:
     """Which of these texts are similar enough (a square matrix): exact, by products of slices of their incidence matrix.
-    Shingles of one text only add nothing to an intersection and are left out of it."""
-    element, doc, _ = shingle_sets(texts, SHINGLE)
-    size = np.bincount(doc, minlength=len(texts)).astype(np.float64)
+    Elements of one text only add nothing to an intersection and are left out of it."""
+    element, doc, weight = layered(texts)
+    size = np.bincount(doc, weight, minlength=len(texts))
     _, back, n = np.unique(element, return_inverse=True, return_counts=True)
     shared = n[back] > 1
     number = np.cumsum(n > 1) - 1
-    doc, back = doc[shared], number[back[shared]]
+    doc, back, weight = doc[shared], number[back[shared]], weight[shared]
     order = np.argsort(back, kind="stable")
-    doc, back = doc[order], back[order]
+    doc, back, root = doc[order], back[order], np.sqrt(weight[order])
     both = np.zeros((len(texts), len(texts)))
     for lo in range(0, int((n > 1).sum()), columns):
         at = slice(*np.searchsorted(back, [lo, lo + columns]))
-        part = np.zeros((len(texts), columns), dtype=np.float32)
-        part[doc[at], back[at] - lo] = 1
+        part = np.zeros((len(texts), columns), dtype=np.float32 if (root[at] == 1).all() else np.float64)
+        part[doc[at], back[at] - lo] = root[at]
         both += part @ part.T
-    return both >= SIMILARITY * (size[:, None] + size - both)
+    return near_enough(both, size[:, None], size)
 
 
 def linked_in_units(members: DataFrame) -> DataFrame:
@@ -185,18 +207,19 @@ def linked_in_units(members: DataFrame) -> DataFrame:
     return members.select("unit", "node", "label", "text").groupBy("unit").applyInArrow(run, "a long, b long")
 
 
-def open_groups(pairs: DataFrame, near: DataFrame) -> DataFrame:
-    """node, unit and label for what one comparison with each bucket's pick leaves open.
+def in_pieces(buckets: DataFrame, near: DataFrame) -> DataFrame:
+    """g, node and label of the buckets (g, node) that near leaves in several pieces; buckets of two nodes are settled."""
+    both = buckets.join(components(near), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = both.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and n > 2").select("g")
+    return cut(both.select("g", "node", "label").join(groups, "g", "left_semi"), "pieces")
+
+
+def open_units(both: DataFrame) -> DataFrame:
+    """node, unit and label for buckets in pieces (g, node, label).
 
-    Nodes that candidate pairs connect are a group. A group is settled if its links connect all of it, or if it has two
-    nodes. The others are cut into chunks of about CHUNK nodes, large components into chunks of their own, and each two
-    chunks that hold different components make a unit, where all are compared with all in one matrix product.
+    A bucket is cut into chunks of about CHUNK nodes, large pieces into chunks of their own, and each two chunks that hold
+    different pieces make a unit, where all are compared with all in one matrix product.
     """
-    group = components(pairs).withColumnRenamed("label", "g")
-    label = components(near)
-    both = cut(group.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "grouped")
-    groups = both.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and n > 2").select("g")
-    both = both.join(groups, "g", "left_semi")
     parts = both.groupBy("g", "label").agg(F.count(F.lit(1)).alias("size"))
     small = parts.groupBy("g").agg(F.sum(F.when(F.col("size") < CHUNK, F.col("size")).otherwise(0)).alias("small"))
     parts = parts.join(small, "g").withColumn("own", F.col("size") >= CHUNK)
@@ -206,35 +229,49 @@ def open_groups(pairs: DataFrame, near: DataFrame) -> DataFrame:
     dealt = cut(dealt.select("g", "node", "label", chunk.alias("chunk"), F.when(F.col("own"), F.col("label")).alias("pure")), "chunks")
     chunks_ = dealt.select("g", "chunk", "pure").distinct()
     other = chunks_.select("g", F.col("chunk").alias("chunk 2"), F.col("pure").alias("pure 2"))
-    # two chunks of one component are settled between them; a mixed chunk is a unit with itself as well
+    # two chunks of one piece are settled between them; a mixed chunk is a unit with itself as well
     units = chunks_.join(other, "g").where((F.col("chunk") <= F.col("chunk 2")) & ~F.coalesce(F.col("pure") == F.col("pure 2"), F.lit(False)))
     units = units.select("g", F.xxhash64("g", "chunk", "chunk 2").alias("unit"), F.explode(F.array_distinct(F.array("chunk", "chunk 2"))).alias("chunk"))
     return dealt.join(units, ["g", "chunk"]).select("node", "unit", "label")
 
 
-def links(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def filled_buckets(nodes: DataFrame) -> DataFrame:
+    """g and node of the buckets of two nodes or more, one of those that hold the same nodes."""
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("g"), "node")
+    print_ = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.min("node").alias("lo"), F.max("node").alias("hi")]
+    sets = buckets.groupBy("g").agg(*print_).where("n > 1").groupBy("n", "x", "y", "lo", "hi").agg(F.min("g").alias("g")).select("g")
+    return cut(buckets.join(sets, "g", "left_semi").distinct(), "buckets")
+
+
+def links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) between nodes (node, bands) of similarity SIMILARITY or more that share a band: enough of them to
-    connect all that are connected. texts (node, text) is asked for the nodes of candidates only."""
-    buckets = nodes.select("node", F.posexplode("bands").alias("band", "h")).select(F.xxhash64("band", "h").alias("key"), "node")
-    order = F.struct(F.xxhash64("node").alias("o"), "node")  # one order for all bands: most of a node's picks are the same
-    picks = buckets.groupBy("key").agg(F.min(order).alias("pick"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("pick.node").alias("pick"))
-    pairs = buckets.join(picks, "key").where("pick <> node").select(F.least("pick", "node").alias("a"), F.greatest("pick", "node").alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = cut(texts(wanted), "texts")
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    near = cut(compared(with_both).where("near").select("a", "b"), "near")
-    members = open_groups(pairs, near).join(texts, "node")
-    return cut(near.union(linked_in_units(members)), "links")
+    connect all that are connected. texts (node, text) is asked for the nodes of filled buckets only."""
+    with scratch(nodes.sparkSession) as keep:
+        buckets = filled_buckets(nodes)
+        texts = cut(texts(buckets.select("node").distinct()), "texts")
+        members, near = buckets.withColumn("label", F.lit(None).cast("long")), None
+        for turn in range(ROUNDS):
+            # one order for all buckets: most of a node's picks are the same
+            order = F.struct(F.xxhash64(F.lit(turn), "node").alias("o"), "node", "label")
+            picks = members.groupBy("g").agg(F.min(order).alias("pick")).select("g", F.col("pick.node").alias("pick"), F.col("pick.label").alias("its"))
+            pairs = members.join(picks, "g").where("pick <> node and (its is null or its <> label)")
+            pairs = cut(pairs.select(F.least("pick", "node").alias("a"), F.greatest("pick", "node").alias("b")).distinct(), "pairs")
+            with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+            with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+            found = cut(compared(with_both).where("near").select("a", "b"), "near")
+            near = found if near is None else cut(near.union(found), "near")
+            members = in_pieces(members.select("g", "node"), near)
+        return keep(cut(near.union(linked_in_units(open_units(members).join(texts, "node"))), "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, node (16 bytes, equal for equal texts) and class_id, the smallest id in its class, one row for each row of docs.
 
-    Classes are the connected components of: equal texts, and texts of which the sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more. A text of one to four words is one shingle; texts without words are alike only if equal;
-    null texts are alike only in rows of the same id. Null ids are never the smallest, unless a class has no other.
+    Classes are the connected components of: equal texts, and texts of which the weighted sets of five-word shingles (see
+    above) have a Jaccard similarity of 0.8 or more. A text of one to four words is one shingle; empty texts and others
+    without words are alike only if equal; null texts are alike only in rows of the same id. Null ids are never the
+    smallest, unless a class has no other. Repeated rows are rows of one class. Texts are read whole, however long; an
+    empty table gives an empty result. Other columns of docs, whatever their names, are left out.
     """
     found = cut(sketched(docs, id_col, text_col), "sketches")
     by_text = found.groupBy(F.col("node").alias("text_key")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))

@@ -20,7 +20,6 @@ The table of texts is bucketed by their key, so that later joins with it move th
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbook.llm.common import cut, in_small_batches
+from quillbook.llm.common import cut, in_small_batches, kept_table, scratch
 from quillbook.llm.neardup import text_key
 from quillbook.llm.shingles import chunks, mix
 
@@ -170,9 +169,7 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = docs.select(text_key(F.col(text_col), F.col(id_col)).alias("node"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     one = one.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    name = f"quillbook_texts_{uuid.uuid4().hex}"  # the aggregation has dealt the rows to as many parts by the same hash
-    one.write.bucketBy(parts, "node").saveAsTable(name)
-    return spark.table(name)
+    return kept_table(one, "texts", parts, "node")  # the aggregation has dealt the rows to as many parts by the same hash
 
 
 def in_two_steps(dealt: DataFrame, partial: Callable, judge: Callable, reply: Callable) -> DataFrame:
@@ -281,9 +278,6 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         h, d, hot = (np.concatenate(x) for x in zip(*map(_unpack, blobs[1:]), strict=True))
         return [(nodes[k], _pack(h=h[part], hot=hot[part]), bool(hot[part].any())) for k, part in _by_shard(d.astype(np.int64))]
 
-    anchors = in_small_batches(texts.select("node", "text")).mapInArrow(send_anchors, _ROWS).repartition(parts, "shard", "salt")
-    mine = cut(_answered(in_two_steps(anchors, counted, repeated_ones, tell), parts, to_documents), "repeated")
-
     def send(hot_ones: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         """The segments around anchors that aren't hot, or the single windows around those that are."""
 
@@ -380,12 +374,15 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         raw_nodes = nodes.tobytes()
         return [(raw_nodes[16 * k : 16 * k + 16], _pack(at=np.sort(at[part]) - begins[k]), False) for k, part in _by_shard(owner)]
 
-    told = texts.join(mine, "node")
-    cold = told.select("node", "least", "text", "blob").mapInArrow(send(False), _ROWS).repartition(parts, "shard").groupBy("shard").applyInArrow(run_kernel, _ROWS)
-    with_hot = told.where("flag").select("node", "least", "text", "blob")
-    hot = in_two_steps(with_hot.mapInArrow(send(True), _ROWS).repartition(parts, "shard", "salt"), windows_of_salt, windows_of_shard, tell_windows)
-    # a home's records of the two kinds are apart, since each has its own numbering of segments
-    return cut(_answered(cold, parts, to_windows).unionAll(_answered(hot, parts, to_windows)).select("node", "blob"), "windows")
+    with scratch(texts.sparkSession) as keep:
+        anchors = in_small_batches(texts.select("node", "text")).mapInArrow(send_anchors, _ROWS).repartition(parts, "shard", "salt")
+        mine = cut(_answered(in_two_steps(anchors, counted, repeated_ones, tell), parts, to_documents), "repeated")
+        told = texts.join(mine, "node")
+        cold = told.select("node", "least", "text", "blob").mapInArrow(send(False), _ROWS).repartition(parts, "shard").groupBy("shard").applyInArrow(run_kernel, _ROWS)
+        with_hot = told.where("flag").select("node", "least", "text", "blob")
+        hot = in_two_steps(with_hot.mapInArrow(send(True), _ROWS).repartition(parts, "shard", "salt"), windows_of_salt, windows_of_shard, tell_windows)
+        # a home's records of the two kinds are apart, since each has its own numbering of segments
+        return keep(cut(_answered(cold, parts, to_windows).unionAll(_answered(hot, parts, to_windows)).select("node", "blob"), "windows"))
 
 
 def windows_by_text(texts: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -10,9 +11,26 @@ from quillbook.llm.components import components
 from tests.llm.helpers import SF, WORD, documents, empty, odd
 
 
-def shingle_set(text):
+def shingle_weights(text):
+    """A shingle that occurs c times weighs 1 + ln c."""
     w = WORD.findall(text or "")
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    found = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    return {g: 1 + math.log(c) for g, c in found.items()}
+
+
+def brute_links(rows):
+    """All pairs of similarity 0.8 or more."""
+    sets, index = {i: shingle_weights(t) for i, t in rows}, defaultdict(list)
+    total = {i: sum(s.values()) for i, s in sets.items()}
+    for i, s in sets.items():
+        for g in s:
+            index[g].append(i)
+    both = Counter()
+    for g, v in index.items():
+        for k, a in enumerate(v):
+            for b in v[k + 1 :]:
+                both[a, b] += min(sets[a][g], sets[b][g])
+    return {(a, b) for (a, b), c in both.items() if c >= 0.8 * (total[a] + total[b] - c) - 1e-9}
 
 
 def brute_classes(rows):
@@ -23,18 +41,11 @@ def brute_classes(rows):
             x = top[x]
         return x
 
-    sets, by_text, index = {i: shingle_set(t) for i, t in rows}, {}, defaultdict(list)
-    for i, t in rows:
-        if t is not None:
-            j = root(by_text.setdefault(t, i))
-            top[max(root(i), j)] = min(root(i), j)
-        for g in sets[i]:
-            index[g].append(i)
-    both = Counter((a, b) for v in index.values() for k, a in enumerate(v) for b in v[k + 1 :])
-    for (a, b), c in both.items():
-        if c >= 0.8 * (len(sets[a]) + len(sets[b]) - c):
-            x, y = root(a), root(b)
-            top[max(x, y)] = min(x, y)
+    by_text = {}
+    same = [(i, by_text.setdefault(t, i)) for i, t in rows if t is not None]
+    for a, b in [*same, *brute_links(rows)]:
+        x, y = root(a), root(b)
+        top[max(x, y)] = min(x, y)
     return {i: root(i) for i, _ in rows}
 
 
@@ -50,6 +61,24 @@ def test_classes_of_the_documents(spark):
     assert {r.doc_id: r.class_id for r in neardup.op5_dart_minhash(spark, SF).collect()} == brute_classes(rows)
 
 
+def test_recall_of_near_copies(spark):
+    """Copies with so many edits that their similarities lie on both sides of 0.8, some with repeated lines: of the pairs at
+    or above it, the share that ends in one class."""
+    rng, rows = random.Random(12), []
+    for g in range(60):
+        words = [f"g{g}w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 400))]
+        rows.append((10 * g, " ".join(words)))
+        for k in range(1, 5):
+            rows.append((10 * g + k, edited(rng, words, rng.randint(1, max(2, len(words) // 25)))))
+        line = " ".join(words[:12])
+        rows += [(10 * g + 5, " ".join(words) + ("\n" + line) * rng.randint(1, 9)), (10 * g + 6, (line + "\n") * rng.randint(2, 30) + " ".join(words))]
+    got = {r.id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = brute_links(rows)
+    assert len(pairs) > 300 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+    want = brute_classes(rows)
+    assert all(want[i] == want[c] for i, c in got.items())
+
+
 def test_groups_near_the_threshold(spark):
     """Copies of one text with a few edits each: some pairs reach 0.8, most fall short."""
     rng, rows = random.Random(8), []
@@ -87,6 +116,19 @@ def test_darts_estimate_weighted_similarity(weighted):
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03
 
 
+def test_what_is_not_needed_is_removed(spark):
+    from quillbook.llm import common
+
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(60)) + f" {i % 3}") for i in range(9)], "doc_id long, text string")
+    before = set(common._there)
+    out = neardup.near_duplicates(df)
+    left = {p.split("/")[-1].split("-")[0] for p in set(common._there) - before}
+    assert left == {"sketches", "nodes", "links", "labels"} and out.count() == 9
+    suffixes.without_copied_bytes(df).count()
+    common.release(spark)
+    assert not common._there and not [t for t in spark.catalog.listTables() if t.name.startswith("quillbook_")]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(1, 60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(rng.randint(2000, 2060), rng.randint(2000, 2060)) for _ in range(40)]

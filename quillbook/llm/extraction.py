@@ -58,7 +58,7 @@ def features(page: Page) -> np.ndarray:
         paragraphs[k] += page.tag[k] == "p" and own[k] > 0
         paragraphs[p] += paragraphs[k]
         kids[p] += 1
-        silent_kids[p] += page.tag[k] in ("form", "input", "button")
+        silent_kids[p] += page.tag[k] in ("form", "input", "button", "label")
     depth, good, bad, over_good, over_bad, place = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     seen, within, hidden = [0] * n, [0] * n, [0.0] * n
     for k in range(1, n):
@@ -131,7 +131,7 @@ def _prose(rng: random.Random, words: int) -> str:
     out = []
     while words > 0:
         n = min(words, rng.randint(4, 18))
-        s = " ".join("".join(rng.choice("etaoinshrdluéñü") for _ in range(rng.randint(1, 9))) for _ in range(n))
+        s = " ".join("".join(rng.choices("etaoinshrdluéñü", k=rng.randint(1, 9))) for _ in range(n))
         out.append(s.capitalize() + rng.choice([".", ".", ".", "!", "?", ",", "!!", " ***", ""]))
         words -= n
     return " ".join(out)
@@ -189,6 +189,8 @@ def synthetic_page(rng: random.Random) -> str:
         body = _prose(rng, max(1, int(rng.lognormvariate(3.2, 1.0))))
         if chance(0.15):
             body = f"<b>{body}</b>" if chance(0.5) else f'{body} <a href="/y">{_prose(rng, 2)}</a> {_prose(rng, 4)}'
+        if chance(0.06):
+            body = f'{body} {wrap(pick(["span", "span", "a", "em"]), ["ad", "ads", "sponsored", "promo", "notice", "advert"], _prose(rng, rng.randint(1, 12)), 0)} {_prose(rng, 5)}'
         kind = rng.random()
         if kind < 0.8:
             return f"<p>{body}</p>" if chance(0.85) else f"<p>{body}<br>{_prose(rng, 8)}"
@@ -230,7 +232,10 @@ def synthetic_page(rng: random.Random) -> str:
         main = f'<div data-y="1">{main}{"".join(side)}</div>'
     if chance(0.2):
         rng.shuffle(before)
-    return f"<html><head><title>{_prose(rng, 4)}</title><style>p{{}}</style></head><body data-y=\"1\">{''.join(before)}{main}{''.join(after)}</body></html>"
+    body = f"{''.join(before)}{main}{''.join(after)}"
+    if chance(0.08):  # a page that is one form, as some servers make them
+        body = f'<form method="post" action="/" data-y="1">{body}</form>'
+    return f"<html><head><title>{_prose(rng, 4)}</title><style>p{{}}</style></head><body data-y=\"1\">{body}</body></html>"
 
 
 @lru_cache(maxsize=1)
@@ -260,7 +265,9 @@ def trained(seed: int = 11, pages: int = LEARN_PAGES) -> Boosted:
 
 def extract(pages: DataFrame, model: Boosted | None = None, source: str = "html") -> DataFrame:
     """pages without its html, with text and n_chars (code points). A null or empty html, and one without main text, has
-    the text ''. Columns named text or n_chars give way to the new ones."""
+    the text ''. Pages are read whole, however long or badly nested, in linear time; repeated rows are read alike, and an
+    empty table gives an empty result. Columns named text or n_chars give way to the new ones; nulls in other columns, and
+    columns of any other name, are passed on."""
     model = model or trained()
     keep = [c for c in pages.columns if c.lower() not in ("text", "n_chars", source.lower())]
     side = pages.select(*keep, source)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import re
@@ -75,12 +76,58 @@ def test_extraction_of_unseen_made_up_pages():
     assert ok >= 93
 
 
-def test_decoding_keeps_nothing_below_a_dropped_node():
-    rng, model = random.Random(3), extraction.trained()
-    for _ in range(20):
-        page = html_tree.read(extraction.synthetic_page(rng))
-        kept = extraction.decode(page, np.random.default_rng(1).random(len(page.tag)) * 0 + model.predict(extraction.features(page)))
-        assert all(kept[page.parent[k]] for k in range(1, len(kept)) if kept[k])
+def test_decoding_is_the_likeliest_consistent_labelling():
+    """Against all labellings of small trees, on arbitrary chances."""
+    rng = random.Random(3)
+    for _ in range(60):
+        page, n = html_tree.Page(), rng.randint(2, 9)
+        for k in range(1, n):
+            page.tag.append("div")
+            page.parent.append(rng.randrange(k))
+            page.attrs.append({})
+            page.silent.append(False)
+        page.chunks = [(k, "x") for k in range(n) if rng.random() < 0.7] or [(0, "x")]
+        chance = np.array([rng.random() for _ in range(n)])
+        filled = {k for k, _ in page.chunks}
+        for k in range(n - 1, 0, -1):
+            if k in filled:
+                filled.add(page.parent[k])
+        like = lambda keep: sum(math.log(chance[k] if keep[k] else 1 - chance[k]) for k in filled if k)
+        every = [(True, *x) for x in itertools.product([False, True], repeat=n - 1)]
+        best = max(like(x) for x in every if all(x[page.parent[k]] for k in range(1, n) if x[k]))
+        kept = extraction.decode(page, chance)
+        assert all(kept[page.parent[k]] for k in range(1, n) if kept[k]) and abs(like(kept) - best) < 1e-9
+
+
+def text_of(html):
+    page = html_tree.read(html)
+    return extraction.main_text(page, extraction.decode(page, extraction.trained().predict(extraction.features(page))))
+
+
+def test_ordinary_flaws_of_pages():
+    prose = " ".join(f"Word{k} of a sentence that goes on, and ends." for k in range(25))
+    article = lambda inner: f'<html><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><article><h1>Title</h1>{inner}</article><footer>&copy; Site</footer></body></html>'
+    want = f"Title {prose}"
+    assert text_of(article(f'<p class="x>{prose}</p>')) == want
+    assert text_of(article(f"<p class='x>{prose}</p><p title=\"a > b\">more of it.</p>")) == f"{want} more of it."
+    assert text_of(article(f'<p>{prose} <span class="ad">Buy this now</span></p>')) == want
+    assert text_of(article(f'<p>{prose} <span class="note">kept</span></p>')) == f"{want} kept"
+    assert text_of(f'<html><body><form method="post" action="/x"><div class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></div><div class="content"><h1>Title</h1><p>{prose}</p><p>{prose}</p></div></form></body></html>') == f"{want} {prose}"
+
+
+def test_reading_takes_linear_time():
+    import time
+
+    def took(make, n):
+        page = make(n)
+        at = time.perf_counter()
+        html_tree.read(page)
+        return time.perf_counter() - at
+
+    for make in (lambda n: "<div>" * n + "</span>" * n, lambda n: "<b>" * n + "<div>x" * n, lambda n: "<b>" * n + "<hr><p>" * n, lambda n: "<div><table>" + "<td><i>" * n + "</div>" * n, lambda n: "<li>x<ul>" * n, lambda n: "<p class='x>" * n):
+        took(make, 500)
+        small = min(took(make, 4000) for _ in range(2))
+        assert took(make, 32_000) < 8 * 4 * small + 0.3
 
 
 def test_extraction_of_odd_pages(spark):

@@ -2,13 +2,15 @@
 
 Three kinds of match stand by themselves (assign, access, hex). Three more are weak: a login, an opaque token and an
 endpoint say little alone, so they are reported only where complementary parts of a credential lie in the same scope.
-Scopes are intervals of SCOPE code points around a weak match. The interval join goes over bins as wide as a scope: per
-document and bin only the first and last identifier and secret are kept, which decides exactly whether one is in reach.
+Scopes are intervals of SCOPE code points around a weak match, from start to start, and a part counts only if it has no
+character in common with the match: the same characters can't be both halves. The interval join is one sorted pass over a
+document's spans to either side: the nearest identifier and the nearest secret that end before a match, or begin after
+it, decide exactly whether one is in reach.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillbook.llm.common import cut, fresh, table
@@ -79,17 +81,18 @@ def linked(found: DataFrame, key: list[str], weak: str, base: str) -> DataFrame:
     """key and `confirmed`: the weak spans in whose scope the complementary parts lie. Rows equal in key count once."""
     part = F.element_at(F.create_map(*[F.lit(x) for r, k in enumerate(KINDS) for x in (r, PART[k])]), F.col("s.rank"))
     rows = found.where(F.size(weak) > 0).where(F.size(weak) + F.size(base) > 1)
-    rows = rows.select(*key, F.explode(F.concat(base, weak)).alias("s")).select(*key, "s", part.alias("part"), F.floor(F.col("s.start") / SCOPE).alias("bin"))
-    of = lambda p: F.when(F.col("part") == p, F.col("s.start"))
-    bins = rows.groupBy(*key, "bin").agg(*[f(of(p)).alias(f"{n}_{p}") for p in ("id", "secret") for n, f in (("first", F.min), ("last", F.max))])
-    reach = bins.withColumn("side", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("bin", F.col("bin") - F.col("side"))
-    reach = reach.select(*[F.col(c).alias(f"{c}_of") for c in [*key, "bin"]], "side", *[f"{n}_{p}" for p in ("id", "secret") for n in ("first", "last")])
-    asked = rows.where(F.col("s.rank") >= len(BASE)).distinct()
-    on = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in [*key, "bin"]]
-    at = F.col("s.start")
-    # a bin is as wide as a scope: all of the own bin is in reach, and of a neighbour its nearest member decides
-    near = lambda p: F.when(F.col("side") == 0, F.col(f"last_{p}").isNotNull()).when(F.col("side") < 0, F.col(f"last_{p}") >= at - SCOPE).otherwise(F.col(f"first_{p}") <= at + SCOPE)
-    met = asked.join(reach, on).groupBy(*key, "s", "part").agg(*[F.max(F.coalesce(near(p), F.lit(False))).alias(f"has_{p}") for p in ("id", "secret")])
+    rows = rows.select(*key, F.explode(F.concat(base, weak)).alias("s")).distinct().withColumn("part", part)
+    start, stop = F.col("s.start"), F.col("s.stop")
+    event = lambda side, at, asks: F.struct(F.lit(side).alias("side"), at.alias("at"), F.lit(asks).alias("asks"))
+    # a part is met at its end on the way right and at its start on the way left, a match asks where it begins and ends
+    events = F.array(event(1, stop, 0), event(-1, -start, 0))
+    events = F.when(F.col("s.rank") < len(BASE), events).otherwise(F.concat(events, F.array(event(1, start, 1), event(-1, -stop, 1))))
+    rows = rows.withColumn("e", F.explode(events)).select(*key, "s", "part", "e.*")
+    before = Window.partitionBy(*key, "side").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.col("side") * start
+    near = {p: F.max(F.when((F.col("asks") == 0) & (F.col("part") == p), here)).over(before) >= here - SCOPE for p in ("id", "secret")}
+    met = rows.select("*", *[F.coalesce(c, F.lit(False)).alias(f"near_{p}") for p, c in near.items()]).where("asks = 1")
+    met = met.groupBy(*key, "s", "part").agg(*[F.max(f"near_{p}").alias(f"has_{p}") for p in ("id", "secret")])
     ok = F.lit(False)
     for p, needs in NEEDS.items():
         both = F.lit(True)
@@ -101,8 +104,9 @@ def linked(found: DataFrame, key: list[str], weak: str, base: str) -> DataFrame:
 
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without its text, with base (base spans) and spans (all spans): sorted arrays of (start, rank, stop) in code
-    points, stop exclusive; rank is a place in KINDS. A null text is an empty one and has none. Columns named base or
-    spans, or like one of the kinds, give way. Rows that share id and text are linked alike.
+    points, stop exclusive; rank is a place in KINDS. A null text is an empty one and has none; texts are scanned whole,
+    however long, and an empty table gives an empty result. Columns named base or spans, or like one of the kinds, give way.
+    Rows that share id and text, and rows whose id is null, are linked alike.
     """
     new = {*KINDS, "base", "spans", "weak", "confirmed"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
@@ -114,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     mixed = F.filter("opaque", lambda s: token(s).rlike("[0-9]") & token(s).rlike("[A-Z]") & token(s).rlike("[a-z]"))
     df = df.withColumns({"base": F.sort_array(F.concat(*BASE)), "weak": F.sort_array(F.concat("login", F.when(F.size("opaque") > 0, mixed).otherwise(F.col("opaque")), "endpoint")), mark: F.md5("text 0")})
     found = cut(df.select(*[c for c in docs.columns if c != text], mark, "base", "weak"), "secrets")
-    key = [id_col, mark]
+    key = [id_col, mark]  # no document meets another
     links = linked(found, key, "weak", "base")
     links = links.select(*[F.col(c).alias(f"{c}_of") for c in key], "confirmed")
     out = found.join(links, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in key], "left")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -21,7 +22,7 @@ def base_counts(text):
 
 def test_counts_against_brute_force(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").unionByName(odd(spark).where("doc_id is null or doc_id <> 3").select("doc_id", "text", "lang", "source"), allowMissingColumns=True)
-    for r in quality.counted(df).collect():
+    for r in quality.counted(df, ["the", "der"]).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base_counts(r.text), r.doc_id
 
 
@@ -33,11 +34,30 @@ def test_quality_oracle(spark):
     assert sorted(map(str, df.select(*cols).collect())) == sorted(str(r) for r in spark.createDataFrame(con.sql(f"select {', '.join(cols)} from ({quality.OP2_SQL})").fetchall(), df.select(*cols).schema).collect())
 
 
-def test_junk_goes_and_prose_stays(spark):
-    prose = [(i, " ".join(f"the {a}{i % 7} of {a}{(i * 3 + k) % 11} and it was {a}{k}." for k, a in enumerate("abcdefghijklmnopqrstuvwxyz")), "en") for i in range(40)]
-    junk = [(100 + i, " ".join(f"w{i}{k}*** #{k}$$$ %%%" for k in range(60)), "en") for i in range(2)]
-    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(prose + junk, "doc_id long, text string, lang string")).collect()}
-    assert all(got[i] for i in range(40)) and not got[100] and not got[101]
+def sentences(rng, often, rare, n):
+    """Prose after a fashion: half of the words are frequent ones."""
+    return " ".join(f"{' '.join(rng.choice(often) if rng.random() < 0.5 else rng.choice(rare) for _ in range(9)).capitalize()}." for _ in range(n // 9))
+
+
+def test_prose_of_any_script_stays_and_junk_goes(spark):
+    rng = random.Random(6)
+    tongues = {"en": ("the of and to in a is that".split(), "hill river market answer window morning travel story".split()), "ru": ("и в не на я что тот быть с".split(), "дерево улица окно вечер письмо дорога книга сестра".split()), "el": ("και το η του να με που από".split(), "θάλασσα δρόμος βιβλίο πόλη μέρα σπίτι δέντρο".split())}
+    prose = [(1000 * k + i, sentences(rng, *words, 200), lang) for k, (lang, words) in enumerate(tongues.items()) for i in range(40)]
+    unknown = [(9000 + i, sentences(rng, "და არ ეს რომ კი".split(), "წიგნი სახლი ქუჩა ფანჯარა".split(), 200), None) for i in range(5)]
+    junk = [(9100 + i, " ".join(f"w{i}{k}*** #{k}$$$ %%%" for k in range(60)), "en") for i in range(2)]
+    # lists of rare words only: their characters are those of prose, their words aren't
+    lists = [(9200 + i, " ".join("".join(rng.choices(letters, k=7)) for _ in range(250)), None) for i, letters in enumerate(["abcdefghiklmnorstu", "абвгдежзиклмнопрст"])]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(prose + unknown + junk + lists, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] for i, _, _ in prose + unknown) and not any(got[i] for i, _, _ in junk + lists)
+    only_en = [x for x in prose if x[2] != "ru"] + [(i, t, None) for i, t, lang in prose if lang == "ru"]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(only_en, "doc_id long, text string, lang string")).collect()}
+    assert all(got.values())  # nothing is known of that script
+
+
+def test_bad_documents_of_the_tables_go_and_good_ones_stay(spark):
+    df = quality.op2_divergence_rules(spark, SF.replace("0.001", "0.01")).join(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    bad, good = [r.kept for r in df if r.quality == 0], [r.kept for r in df if r.quality == 1]
+    assert sum(bad) <= 0.15 * len(bad) and sum(good) >= 0.99 * len(good)
 
 
 def test_quality_of_odd_rows(spark):

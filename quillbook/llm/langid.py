@@ -122,7 +122,8 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
     """docs' columns (or those in keep) with lang_pred and score (cosine, 0 to 1). text may be a field of a struct column.
 
     A null text, one without a letter, or any text when nothing was learned, is `und` with score 0. Ties go to the first
-    language in alphabetical order. Columns named lang_pred or score give way to the new ones.
+    language in alphabetical order. Texts are read whole, however long; repeated rows get the same answer; an empty table
+    gives an empty result. Columns named lang_pred or score give way to the new ones.
     """
     docs = docs.drop("lang_pred", "score")
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
@@ -147,6 +148,11 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text: st
     return in_small_batches(side).mapInArrow(run, out_schema)
 
 
+def letters(text: Column) -> Column:
+    """How many letters a text has."""
+    return F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\P{L}+", ""))
+
+
 def third(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3))
 

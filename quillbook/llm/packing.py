@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from quillbook.llm.common import cut, in_small_batches, ranked, table
 
-#: With so many ranges (40 bytes each) the table of ranges is still broadcast; beyond it the join is shuffled.
+#: With so many ranges (40 bytes each, 4 MB) the table of ranges is still broadcast; beyond it the join is shuffled. The
+#: result is the same.
 BROADCAST_RANGES = 100_000
 
 
@@ -103,8 +104,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
 
 @lru_cache(maxsize=2)
 def tokenizer(json_path: str, ranks_path: str):
-    """text -> uint32 ids. The ranks file is the same vocabulary in a form that is encoded five times faster; texts with
-    the string of a special token are left to the JSON file's tokenizer, which gives it that token's id."""
+    """text -> uint32 ids, those of the JSON file's tokenizer. The ranks file is the same vocabulary in a form that is encoded
+    five times faster, with the same ids (tests compare them on random Unicode); texts with the string of a special token
+    are left to the JSON file's tokenizer, which gives it that token's id."""
     import base64
 
     import public_tokenizers
@@ -178,6 +180,11 @@ def pack(items: DataFrame, capacity: int, length: str = "length") -> DataFrame:
 
 
 def packed(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """The pieces of all docs (doc_id, text) with their place in sequences of 1024 tokens, and their ids on request.
+
+    A null or empty text is one piece, its end alone; long texts are cut, never shortened; repeated rows are packed each; an
+    empty table gives an empty result. Pieces of equal length are interchangeable. Other columns of docs are left out.
+    """
     import public_tokenizers
 
     cut_up = pieces(docs, 1024, 2, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), with_ids=with_ids)

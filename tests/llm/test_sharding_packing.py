@@ -2,6 +2,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quillbook.llm import packing, sharding
 from tests.llm.helpers import SF, documents, empty, odd
@@ -102,6 +104,23 @@ def test_packing_round_trip(spark):
     assert len({r.sequence_id for r in rows}) <= 1.02 * sum(r.length for r in rows) / 1024 + 1
 
 
+def test_ids_are_those_of_the_json_tokenizer():
+    """On random Unicode, stretches of white space, code and every kind of special token's string."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, encode = Tokenizer.from_file(path), packing.tokenizer(path, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+
+    @settings(max_examples=600, deadline=None)
+    @given(st.text() | st.text(alphabet=" \t\n\r\xa0\u2003\u200b\u0301\ufeffa1'’sßÅ") | st.lists(st.sampled_from([*special, "<|", "|>", "'s", "'LL", "don't", "  ", "\n\n", "x1", "١٢", "漢字", "é", "e\u0301", "🙂👍🏽", "\x00", "\U0010ffff"])).map("".join))
+    def same(text):
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+    same()
+
+
 def test_packing_of_odd_rows(spark):
     df = odd(spark).unionByName(odd(spark).limit(1).selectExpr("99L as doc_id", "'a<|endoftext|>b' as text", *[f"`{c}`" for c in odd(spark).columns if c not in ("doc_id", "text")]))
     packed_ok(packing.packed(df).collect(), [(r.doc_id, r.text) for r in df.collect()])

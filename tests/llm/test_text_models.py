@@ -49,6 +49,43 @@ def test_bundles_are_sums_of_bound_letters():
     assert abs(np.dot(v["a"], v["b"])) / langid.DIMENSIONS < 0.15
 
 
+def naive_vector(text):
+    """The same profile by loops over letters: n-gram by n-gram, rolled and multiplied."""
+    s, out = "\0", np.zeros(langid.DIMENSIONS)
+    for c in text.lower():
+        c = c if c.isalpha() else "\0"
+        s += c if c != "\0" or s[-1] != "\0" else ""
+    s += "" if s[-1] == "\0" else "\0"
+    if s == "\0":
+        return out
+    vector = {c: langid.letter_vectors(np.array([ord(c)]))[0].astype(float) for c in set(s)}
+    for i in range(len(s) - 2):
+        out += np.roll(vector[s[i]], 2) * np.roll(vector[s[i + 1]], 1) * vector[s[i + 2]]
+    return out / max(np.linalg.norm(out), 1e-12)
+
+
+def test_predictions_are_those_of_naive_profiles(spark):
+    df = documents(spark).limit(60).unionByName(spark.createDataFrame([(900, "a", None), (901, "12 34", "en"), (902, None, "en"), (903, "İstanbul'da ǅ ñ é", "tr")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    rows = df.collect()
+    sums = {}
+    for r in rows:
+        if r.text and r.lang:
+            sums[r.lang] = sums.get(r.lang, 0) + naive_vector(r.text)
+    names, p = langid.learn(df)
+    assert names == sorted(k for k, v in sums.items())
+    for k, n in enumerate(names):
+        assert np.allclose(p[k], sums[n] / max(np.linalg.norm(sums[n]), 1e-12), atol=1e-4)
+    got = {r.doc_id: r for r in langid.identify(df, names, p).collect()}
+    for r in rows:
+        v = naive_vector(r.text or "")
+        cosines = [float(v @ sums[n]) / max(np.linalg.norm(sums[n]), 1e-12) for n in names]
+        if not v.any():
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+        else:
+            best = cosines[names.index(got[r.doc_id].lang_pred)]
+            assert best >= max(cosines) - 1e-4 and abs(got[r.doc_id].score - max(0, best)) < 1e-4
+
+
 def article(html):
     a = re.search(r"<article>(.*?)</article>", html, re.S)[1]
     return " ".join(unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", a))).split())

@@ -1,7 +1,11 @@
 """A training-data pipeline over `documents`: five stages, each one operator of quillbook.llm.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of docs, whatever else these are called.
+one's docs. All but the last return the columns of docs, whatever else these are called. Null texts are rejected by the first
+stage and pass the others; empty tables and very long texts pass all of them; what a stage does with ties and repeated rows
+is in its docstring.
+
+What the stages write stays until `quillbook.llm.common.release` is called, after the result is written.
 """
 
 from __future__ import annotations
@@ -12,18 +16,21 @@ from pyspark.sql import functions as F
 from quillbook.llm import decontamination, langid, neardup, packing, secrets
 from quillbook.llm.common import cut, fresh, table
 
-#: A text whose best cosine is below this is in none of the languages.
-LEAST_SCORE = 0.05
+#: A text of so many letters whose best cosine is below this, five deviations of what unrelated texts have in 1024
+#: dimensions, is in none of the languages. Shorter ones can't be told, and stay.
+LEAST_SCORE, LEAST_LETTERS = 0.16, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or are near no language's prototype. Learns from the labelled rows of
-    docs; where there are none, all texts are undecided, and then no text is rejected for that."""
+    """Rejects texts that are null, have no letter, or are long enough to tell and near no language's prototype. Learns from
+    the labelled rows of docs; where there are none, all texts are undecided, and then no text is rejected for that.
+    Repeated rows are judged alike."""
     names, prototypes = langid.learn(docs)
     if not names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(docs.select(F.struct(*docs.columns).alias("row")), names, prototypes, text="row.text")
-    return found.where((F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    told = (F.col("score") >= LEAST_SCORE) | (langid.letters(F.col("row.text")) < LEAST_LETTERS)
+    return found.where((F.col("lang_pred") != langid.UNDECIDED) & told).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a benchmark item."""
+    """Drops documents that contain a benchmark item; rows equal in doc_id and text are dropped together."""
     mark = fresh(docs, "mark_")
     marked = docs.withColumn(mark, F.md5(F.concat_ws("\x00", F.col("doc_id").cast("string"), F.col("text"))))
     hits = decontamination.contaminated(marked, table(spark, sf_dir, "benchmark"), id_col=mark)
@@ -47,7 +54,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every reported span; n_chars, if there, follows."""
+    """Replaces every reported span, in every row of a text alike; n_chars, if there, follows. No row is dropped."""
     found = secrets.scan(docs.select("doc_id", "text"))
     mark = next(c for c in found.columns if c.startswith("text_md5_"))
     found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", mark]).select(F.col("doc_id").alias("found id"), F.col(mark).alias("found mark"), F.col("spans").alias("found spans"))
@@ -60,7 +67,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their token ids and their place in sequences of 1024 tokens."""
+    """The pieces of all documents, with their token ids and their place in sequences of 1024 tokens. Repeated rows are packed
+    each; pieces of equal length are interchangeable."""
     return packing.packed(docs, with_ids=True)
 
 

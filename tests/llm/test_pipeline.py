@@ -11,7 +11,8 @@ from tests.llm.test_sharding_packing import packed_ok
 def test_pipeline_against_stage_by_stage_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in documents(spark).collect()]
     names, p = langid.learn(documents(spark))
-    und = {r.doc_id for r in langid.identify(documents(spark), names, p).collect() if r.lang_pred == "und" or r.score < corpus_pipeline.LEAST_SCORE}
+    told = lambda r: sum(c.isalpha() for c in r.text) < corpus_pipeline.LEAST_LETTERS or r.score >= corpus_pipeline.LEAST_SCORE
+    und = {r.doc_id for r in langid.identify(documents(spark), names, p).collect() if r.lang_pred == "und" or not told(r)}
     docs = [(i, t) for i, t in docs if i not in und]
     classes = brute_classes(docs)
     docs = [(i, t) for i, t in docs if classes[i] == i]
@@ -38,6 +39,14 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
                 assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "4", "6", "7", "8", "None"]
 
 
+def test_foreign_texts_go_and_short_ones_stay(spark):
+    greek = " ".join("θάλασσα και δρόμος προς την πόλη" for _ in range(10))
+    rows = [(9001, greek, None), (9002, "No", None), (9003, "Gracias", None), (9004, "12", None)]
+    docs = documents(spark).select("doc_id", "text", "lang")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")), SF).collect()}
+    assert {9002, 9003} <= kept and not {9001, 9004} & kept
+
+
 def test_clean_documents_stay(spark):
     prose = spark.createDataFrame([(i, f"the quick brown fox number {i} ran over hill {i * 7} and met {i * 13} friends of its own at place {i * 31}", "en") for i in range(30)], "doc_id long, text string, lang string")
     for name, stage in corpus_pipeline.STAGES[:4]:

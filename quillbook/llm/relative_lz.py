@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quillbook.llm.common import cut, table
 from quillbook.llm.neardup import text_key
-from quillbook.llm.repeats import Units, covered, distinct_texts, shared_windows, starts_in, windows_by_text
+from quillbook.llm.repeats import Units, by_windows, covered, distinct_texts, shared_windows, starts_in
 from quillbook.llm.shingles import window_hashes, word_hashes
 
 WINDOW = 35
@@ -103,36 +103,40 @@ def without_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: st
     text repeat all of each other's windows. Ids may be of any type, null or repeated: they are only passed on. Other
     columns of docs, whatever their names, are left out.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = distinct_texts(docs.select("id", F.coalesce("text", F.lit("")).alias("text")), "id", "text")
     units = Units(WINDOW, 6, "<u8", word_hashes, lambda w: window_hashes(w, 6), lambda w: window_hashes(w, WINDOW), within=True)
     found = shared_windows(texts.withColumn("least", F.lit(0).cast("long")), units, elsewhere, np.maximum, lambda there, ids, times: (there > 0) | (times > 1))
 
+    span = "array<struct<from:bigint,to:bigint>>"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, spans = [], []
-            for text, blobs in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            sizes, kept, spans = [], [], []
+            for text, blobs in zip(batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 a, b = covered(starts_in(blobs), WINDOW)
+                sizes.append(len(words))
                 kept.append(b" ".join(w for x, y in zip([0, *b.tolist()], [*a.tolist(), len(words)], strict=True) for w in words[x:y]).decode())
                 spans.append([{"from": x, "to": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-            yield pa.record_batch([batch.column(0), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["node", "kept", "spans"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))], names=["node", "least", "n_words", "kept", "spans"])
 
-    span = "array<struct<from:bigint,to:bigint>>"
-    cut_up = windows_by_text(texts, found).where("n = 1 and blobs is not null").select("node", "text", "blobs").mapInArrow(run, f"node binary, kept string, spans {span}")
-    # one row a text, from the bucketed table: only ids and what was cut move to it
     spaced = F.translate("text", "\t\n\x0b\x0c\r", " " * 5)
     spaced = F.trim(F.when(F.instr(spaced, "  ") > 0, F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
-    solved = texts.join(cut_up, "node", "left").withColumn("all", spaced)
-    solved = solved.withColumn("n_words", F.when(F.col("all") == "", 0).otherwise(F.char_length("all") - F.char_length(F.replace(F.col("all"), F.lit(" "))) + 1).cast("long"))
-    whole = (F.col("n") > 1) & (F.col("n_words") >= WINDOW)  # each window of the text is in its other rows
-    spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))).otherwise(F.coalesce("spans", F.expr(f"cast(array() as {span})")))
-    solved = solved.select("node", "least", "n", "n_words", F.when(whole, "").otherwise(F.coalesce("kept", "all")).alias("kept"), spans.alias("spans"))
+    n_words = F.when(F.col("kept") == "", 0).otherwise(F.char_length("kept") - F.char_length(F.replace(F.col("kept"), F.lit(" "))) + 1).cast("long")
+    none = F.expr(f"cast(array() as {span})")
     # a text of one row is that row; copies are found by their text, in a join that can split a large group
-    alone = solved.where("n = 1").select(F.col("least").alias(id_col), "n_words", "kept", "spans")
+    cut_up, whole = by_windows(texts.where("n = 1"), found)
+    alone = cut_up.select("node", "least", "text", "blobs").mapInArrow(run, f"node binary, least {kind}, n_words long, kept string, spans {span}").select("least", "n_words", "kept", "spans")
+    alone = alone.unionAll(whole.select("least", spaced.alias("kept")).select("least", n_words, "kept", none))
+    several = texts.where("n > 1").select("node", spaced.alias("kept")).select("node", n_words.alias("n_words"), "kept")
+    # each window of such a text is in its other rows
+    gone = F.col("n_words") >= WINDOW
+    several = cut(several.select("node", "n_words", F.when(gone, "").otherwise(F.col("kept")).alias("kept"), F.when(gone, F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to")))).otherwise(none).alias("spans")), "copies")
     rows = docs.select(F.col("id").alias("row id"), text_key(F.coalesce("text", F.lit("")), F.col("id")).alias("node"))
-    copies = rows.join(cut(solved.where("n > 1").drop("least", "n"), "copies"), "node").select(F.col("row id").alias(id_col), "n_words", "kept", "spans")
-    return alone.unionAll(copies)
+    copies = rows.join(several, "node").select(F.col("row id"), "n_words", "kept", "spans")
+    return alone.unionAll(copies).toDF(id_col, "n_words", "kept", "spans")
 
 
 def op10_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,10 +385,11 @@ def shared_windows(texts: DataFrame, units: Units, kernel: Callable[[np.ndarray,
         return keep(cut(_answered(cold, parts, to_windows).unionAll(_answered(hot, parts, to_windows)).select("node", "blob"), "windows"))
 
 
-def windows_by_text(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """texts with found's blobs (one or two a node) as an array of blobs, null for texts without."""
+def by_windows(texts: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts that found has blobs of (one or two a node), with them as an array, and all others. The table of texts is
+    bucketed, so that only blobs move."""
     once = found.groupBy("node").agg(F.collect_list("blob").alias("blobs"))  # two at most
-    return texts.join(once, "node", "left")
+    return texts.join(once, "node"), texts.join(once.select("node"), "node", "left_anti")
 
 
 def starts_in(blobs: list[bytes]) -> np.ndarray:

@@ -41,7 +41,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     What is written stays until its scratch block ends, or until `release`, since results are read from it lazily."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _there[path] = None
     if _open:
         _open[-1].append(path)
@@ -80,7 +80,7 @@ def _remove(spark: SparkSession, paths: list[str]) -> None:
 def kept_table(df: DataFrame, name: str, parts: int, key: str) -> DataFrame:
     """df as a table of the warehouse, bucketed by a column; `release` drops it."""
     spark, name = df.sparkSession, f"quillbook_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, key).saveAsTable(name)
+    df.write.option("compression", "zstd").bucketBy(parts, key).saveAsTable(name)
     _tables[name] = None
     return spark.table(name)
 

@@ -46,6 +46,40 @@ def last_match(c: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(squeeze(F.get(F.reverse(F.regexp_extract_all(c, F.lit(FLAGS + "(?m)" + pattern), F.lit(group))), F.lit(0))))
 
 
+def printed(*labels: str) -> str:
+    """A pattern of any of these printed labels, however wide their spaces are."""
+    return "(?:" + "|".join(r"\s*".join(f"\\Q{w}\\E" for w in label.split()) for label in labels) + ")"
+
+
+def labelled(labels: list[str], value: str, start: bool = False) -> str:
+    """A pattern of a value (one group) that follows a label, a colon or dash between them or not; `start`: at a line's start."""
+    return ("(?m)^" if start else "") + printed(*labels) + rf"\s*[:\-]?\s*({value})"
+
+
+def between(c: Column, start: str, end: str) -> Column:
+    """What stands between two labels, squeezed; null if they aren't there in that order."""
+    return blank_to_null(squeeze(F.regexp_extract(c, FLAGS + "(?s)" + printed(start) + "(.*?)" + printed(end), 1)))
+
+
+def until(c: Column, *words: str) -> Column:
+    """c up to the first of these printed words, squeezed."""
+    return squeeze(F.get(F.split(c, FLAGS + r"\b" + printed(*words) + r"\b"), F.lit(0)))
+
+
+def line_above(c: Column, label: str) -> Column:
+    return blank_to_null(squeeze(F.regexp_extract(c, FLAGS + r"(?m)^([^\n]*)\n[\d ]*" + printed(label), 1)))
+
+
+def line_below(c: Column, label: str) -> Column:
+    return blank_to_null(squeeze(F.regexp_extract(c, FLAGS + r"(?m)" + printed(label) + r"[^\n]*\n([^\n]*)", 1)))
+
+
+def without_printed(c: Column, words: list[str]) -> Column:
+    """The words of c that aren't the form's own, and have a letter."""
+    own = [w.upper() for w in words]
+    return F.array_join(F.filter(F.split(squeeze(c), " "), lambda w: w.rlike("[A-Za-z]") & ~F.upper(F.regexp_replace(w, r"[():]", "")).isin(own)), " ")
+
+
 def key_value(c: Column, key: str) -> Column:
     """What stands after `key :` on its line."""
     return found(c, rf"{key}\s*:\s*(.+)")
@@ -109,6 +143,13 @@ def cut_message(c: Column, width: int = 300) -> Column:
     return F.left(c, F.lit(width))
 
 
+def html_escaped(c: Column) -> Column:
+    """c with the characters that markup is made of as references."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
 def head_code(c: Column) -> Column:
     return found(c, r"\((\d+)\)")
 

@@ -20,12 +20,16 @@ REQUIRED_METADATA = ["AccountNumber", "AccountName", "Currency", "PeriodFrom", "
 def metadata(docs: DataFrame) -> DataFrame:
     """source_file, debt and the statement's own fields from text (null where not printed; INR by default)."""
     t = F.col("text")
-    one = lambda patterns: T.blank_to_null(T.squeeze(T.first_of(t, *patterns)))
+    one = lambda *tries: T.blank_to_null(T.squeeze(F.coalesce(*tries)))
+    rest, number, day = r"[^\n]+", r"[A-Z0-9*-]{5,}", r"\d{1,2}[-/][A-Za-z0-9]{2,3}[-/]\d{2,4}"
+    money = r"[()0-9,.\-]+"
+    dates = T.printed(*R.PERIOD) + r"[^\n\d]{0,12}(" + day + r")\s*" + T.printed(*R.PERIOD_WORDS) + r"\s*:?\s*(" + day + ")"
+    name = F.coalesce(T.found(t, T.labelled(R.ACCOUNT_NAME, rest)), T.found(t, T.labelled([R.OWN_NAME], rest, start=True)), T.line_above(t, R.NAME_ABOVE), T.line_below(t, R.NAME_BELOW))
     sign = lambda x: F.when(F.col("debt"), -F.abs(x)).otherwise(x)
-    period = lambda g: D.bank_date(F.regexp_extract(t, T.FLAGS + R.PERIOD, g))
+    period = lambda g: D.bank_date(F.regexp_extract(t, T.FLAGS + dates, g))
     return docs.select(
-        "source_file", "debt", one(R.ACCOUNT_NUMBER).alias("AccountNumber"), one(R.ACCOUNT_NAME).alias("AccountName"), one(R.ACCOUNT_TYPE).alias("AccountType"), F.coalesce(one(R.CURRENCY), F.lit("INR")).alias("Currency"),
-        period(1).alias("PeriodFrom"), period(2).alias("PeriodTo"), sign(N.parse_amount(T.found(t, R.OPENING))).alias("OpeningBalance"), sign(N.parse_amount(T.last_match(t, R.CLOSING))).alias("ClosingBalance"),
+        "source_file", "debt", one(*[T.found(t, T.labelled(labels, number)) for labels in R.ACCOUNT_NUMBER]).alias("AccountNumber"), one(name).alias("AccountName"), one(T.found(t, T.labelled(R.ACCOUNT_TYPE, rest, start=True))).alias("AccountType"), F.coalesce(one(T.found(t, T.labelled(R.CURRENCY, r"[A-Z]{3}\b", start=True))), F.lit("INR")).alias("Currency"),
+        period(1).alias("PeriodFrom"), period(2).alias("PeriodTo"), sign(N.parse_amount(T.found(t, T.labelled(R.OPENING, money)))).alias("OpeningBalance"), sign(N.parse_amount(T.last_match(t, T.labelled(R.CLOSING, money)))).alias("ClosingBalance"),
     )
 
 
@@ -163,6 +167,16 @@ def bank_ledger(meta: DataFrame, recon: DataFrame, docs: DataFrame) -> DataFrame
     )
 
 
+def review_first(recon: DataFrame) -> DataFrame:
+    return recon.orderBy(F.when(F.col("Status") == "PASS", 1).otherwise(0), "source_file")
+
+
+def evidence(meta: DataFrame) -> DataFrame:
+    """A row for each field that a statement has to have: SourceFile, Field, Value (null if not printed), Found."""
+    fields = F.array(*[F.struct(F.lit(c).alias("Field"), F.col(c).cast("string").alias("Value")) for c in [*REQUIRED_METADATA, "OpeningBalance", "ClosingBalance"]])
+    return meta.select(F.col("source_file").alias("SourceFile"), F.explode(fields).alias("f")).select("SourceFile", "f.*", (F.coalesce("f.Value", F.lit("")) != "").alias("Found"))
+
+
 def deposit_totals(rows: DataFrame) -> DataFrame:
     """Per document: count, principal, latest maturity, finding codes."""
     g = rows.groupBy("source_file").agg(F.count("*").alias("n"), F.sum("Principal").alias("PrimaryAmount"), F.max("MaturityDate").alias("PeriodTo"), F.count_if((F.col("DepositNumber") == "") | F.col("Principal").isNull()).alias("incomplete"))

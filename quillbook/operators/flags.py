@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbook.functions import numbers, text
+from quillbook.operators.ledger import party_rank
 
 IDENTITY = {"PF": "ENTITY?", "PTRC": "TIN?", "EBRC": "ENTITY?", "EWB": "ENTITY?"}
 
@@ -40,8 +41,7 @@ def tds(tol: numbers.Tolerances = numbers.DEFAULT) -> Column:
 
 def esic_ranked(rows: DataFrame) -> DataFrame:
     """Adds Party, by amount within year and printed month over the batch, and Flags."""
-    n = F.row_number().over(Window.partitionBy("FY", "Month").orderBy(F.desc("Amount"), "SourceFile"))
-    out = rows.withColumn("_n", n).withColumn("Party", F.when(F.col("_n") == 1, "Employer").when(F.col("_n") == 2, "Employee").otherwise("Other")).drop("_n")
+    out = party_rank(rows, ["FY", "Month"], [F.desc("Amount"), F.col("SourceFile")])
     return out.withColumn("Flags", _joined([(F.col("PeriodDate").isNull(), "PERIOD?"), (F.col("Party") == "Other", "EXTRA CHALLAN"), (F.col("Amount") <= 0, "AMT?")]))
 
 

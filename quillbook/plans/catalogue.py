@@ -15,6 +15,7 @@ from quillbook.operators import classify as C
 from quillbook.operators import geometry as G
 from quillbook.operators import ledger as L
 from quillbook.parsers import gst
+from quillbook.plans import cases, facts
 from quillbook.rules import banks, forms
 from quillbook.rules import gst as RG
 from quillbook.sources import layout
@@ -280,33 +281,15 @@ def gst_checks(spark, sf_dir):
     return gst.gstr1_checks(section_rows(spark, sf_dir), key="l_suppkey")
 
 
-_CODES = ", ".join(f"({i}, '{c}')" for i, (c, *_) in enumerate(RG.SECTIONS))
-
-
-@query(f"""
-with codes(seq, code) as (values {_CODES}),
-p as (select p_partkey, p_brand, p_size, p_retailprice, codes.code from part join codes on codes.seq = p_size % 37),
-f as (select *, row_number() over (partition by p_brand, code order by p_partkey) as n from p)
-select b.p_brand, c.code as Section_Code, f.p_partkey is not null as Found, coalesce(f.p_partkey, 0) as p_partkey, coalesce(f.p_retailprice, 0) as Value
-from (select distinct p_brand from part) b cross join codes c left join f on f.p_brand = b.p_brand and f.code = c.code and f.n = 1""")
-def section_totals(spark, sf_dir):
-    codes = gst.sections(spark).select("seq", "Section_Code")
-    p = read(spark, sf_dir, "part").join(F.broadcast(codes), F.col("p_size") % 37 == F.col("seq"))  # 33 fixed sections
-    first = p.withColumn("n", F.row_number().over(Window.partitionBy("p_brand", "Section_Code").orderBy("p_partkey"))).where("n = 1").select("p_brand", "Section_Code", "p_partkey", "p_retailprice")
-    all_ = read(spark, sf_dir, "part").select("p_brand").distinct().crossJoin(F.broadcast(codes.select("Section_Code")))
-    out = all_.join(first, ["p_brand", "Section_Code"], "left")
-    return out.select("p_brand", "Section_Code", F.col("p_partkey").isNotNull().alias("Found"), F.coalesce("p_partkey", F.lit(0)).cast("long").alias("p_partkey"), F.coalesce("p_retailprice", F.lit(0.0)).alias("Value"))
-
-
-@query("""
-with f as (select l_orderkey, sum(round(l_extendedprice * 100)::bigint) filter (l_returnflag = 'R') / 100.0::double as returned, sum(round(l_extendedprice * 100)::bigint) filter (l_linestatus = 'O') / 100.0::double as open, sum(round(l_tax * 100)::bigint) / 100.0::double as tax from lineitem group by 1),
-o as (select o_orderkey, o_totalprice from orders)
-select o_orderkey, round(returned, 2) as returned, round(open, 2) as open, round(tax, 2) as tax, round(returned + open, 2) as known, case when abs(o_totalprice - open) <= 1 then 'PASS' else 'REVIEW' end as status from o left join f on l_orderkey = o_orderkey""")
+@query(f"""with {_SECTIONS}, u as (
+  select l_suppkey, sec, 'Value' as Head, Value as a from s union all select l_suppkey, sec, 'IGST', IGST from s union all select l_suppkey, sec, 'CGST', CGST from s union all select l_suppkey, sec, 'SGST', SGST from s)
+select l_suppkey::varchar as GSTIN, 'Apr-25' as Period_Year, round(coalesce(sum(a) filter (Head = 'Value' and sec in ('4A', '5', '6A')), 0), 2) as SupplyValue, round(coalesce(sum(a) filter (Head = 'Value' and sec = '6A'), 0), 2) as ExportValue,
+  round(coalesce(sum(a) filter (Head = 'Value' and sec = '9B_CDNR'), 0), 2) as NotesValue, round(coalesce(sum(a) filter (Head = 'IGST' and sec in ('4A', '5', '6A', '9B_CDNR')), 0), 2) as Total_IGST,
+  round(coalesce(sum(a) filter (Head = 'CGST' and sec in ('4A', '5', '6A', '9B_CDNR')), 0), 2) as Total_CGST, round(coalesce(sum(a) filter (Head = 'SGST' and sec in ('4A', '5', '6A', '9B_CDNR')), 0), 2) as Total_SGST, 0.0::double as Total_Cess
+from u group by 1""")
 def exec_summary(spark, sf_dir):
-    cents = lambda c: F.round(F.col(c) * 100).cast("long")
-    f = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[(F.sum(e) / 100).alias(n) for n, e in (("returned", F.when(F.col("l_returnflag") == "R", cents("l_extendedprice"))), ("open", F.when(F.col("l_linestatus") == "O", cents("l_extendedprice"))), ("tax", cents("l_tax")))])
-    o = read(spark, sf_dir, "orders").join(f, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return o.select("o_orderkey", *[F.round(c, 2).alias(c) for c in ("returned", "open", "tax")], F.round(F.col("returned") + F.col("open"), 2).alias("known"), F.when(F.abs(F.col("o_totalprice") - F.col("open")) <= 1, "PASS").otherwise("REVIEW").alias("status"))
+    rows = section_rows(spark, sf_dir).withColumns({"GSTIN": F.col("l_suppkey").cast("string"), "Period_Year": F.lit("Apr-25"), "Section_Label": F.lit("")})
+    return facts.outward_summary(rows, facts.liability(rows))
 
 
 _CHECKS = ", ".join(f"({i}, '{c}')" for i, c in enumerate(RG.KNOWN_CHECKS))
@@ -327,18 +310,19 @@ def checksum_matrix(spark, sf_dir):
 with g as (select l_orderkey, sum(round(l_extendedprice * 100)::bigint) filter (l_returnflag = 'A') / 100.0::double as a, sum(round(l_extendedprice * 100)::bigint) filter (l_returnflag = 'R') / 100.0::double as r from lineitem group by 1)
 select l_orderkey, round(a, 2) as a, round(r, 2) as r, round(a + r, 2) as both from g""")
 def masked_sum_null(spark, sf_dir):
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[(F.sum(F.when(F.col("l_returnflag") == k.upper(), cents)) / 100).alias(k) for k in ("a", "r")])
-    return g.select("l_orderkey", F.round("a", 2).alias("a"), F.round("r", 2).alias("r"), F.round(F.col("a") + F.col("r"), 2).alias("both"))
+    amount = F.round(F.col("l_extendedprice") * 100).cast("long") / 100
+    g = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*[gst.masked_sum(F.col("l_returnflag") == k.upper(), amount).alias(k) for k in ("a", "r")])
+    return g.select("l_orderkey", "a", "r", F.round(F.col("a") + F.col("r"), 2).alias("both"))
 
 
 @query("""
 with x as (select l_shipdate, l_partkey, case when l_returnflag = 'R' then null else l_quantity end as q, case when l_returnflag in ('R', 'A') then null else l_tax end as t from lineitem)
-select strftime(l_shipdate, '%Y-%m') as month, l_partkey % 10 as party, sum(q) as q, round(sum(t), 4) as t, count(q) as n from x group by 1, 2""")
+select strftime(l_shipdate, '%Y-%m') as month, l_partkey % 10 as party, sum(q) as q, round(sum(t), 4) as t from x group by 1, 2""")
 def null_skip_sum(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
     q, t = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")), F.when(~F.col("l_returnflag").isin("R", "A"), F.col("l_tax"))
-    return li.groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month"), (F.col("l_partkey") % 10).alias("party")).agg(F.sum(q).alias("q"), F.round(F.sum(t), 4).alias("t"), F.count(q).alias("n"))
+    rows = li.select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), (F.col("l_partkey") % 10).alias("party"), q.alias("q"), t.alias("t"))
+    return facts.net_sections(rows, ["month", "party"], ["q", "t"]).withColumn("t", F.round("t", 4))
 
 
 @query("""
@@ -438,7 +422,7 @@ select event_id, nullif(trim(regexp_extract(props, '"page"\\s*:\\s*([^,}]+)', 1)
 def kv_extract(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     p = F.col("props")
-    return e.select("event_id", T.blank_to_null(T.strip(F.regexp_extract(p, r'"page"\s*:\s*([^,}]+)', 1))).alias("page"), T.blank_to_null(F.regexp_extract(p, "([0-9]+)", 1)).alias("digits"), F.size(F.regexp_extract_all(p, F.lit("[0-9,]+"), F.lit(0))).cast("long").alias("n"))
+    return e.select("event_id", T.found(p, r'"page"\s*:\s*([^,}]+)').alias("page"), T.found(p, "([0-9]+)").alias("digits"), F.size(F.regexp_extract_all(p, F.lit("[0-9,]+"), F.lit(0))).cast("long").alias("n"))
 
 
 _PRINTED = ["Tran Date", "Value Date", "Particulars", "Chq No", "Withdrawals (Rs)", "DEPOSITS", "Balance Type", "FD Account No.", "Int. Rate", "Maturity Amount", "TDS Paid", "Ref No./Cheque No", "Something else", "Transaction Date extra"]
@@ -484,14 +468,6 @@ def review_packet(spark, sf_dir):
     return out.select(F.col("SourceFile").cast("long").alias("doc_id"), F.array_join(F.transform(F.coalesce("Findings", F.array().cast(out.schema["Findings"].dataType)), lambda x: x["Code"]), ",").alias("findings"), F.array_join(F.transform("Evidence", lambda x: x["Field"]), ",").alias("evidence"))
 
 
-@query("""
-with r as (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events)
-select user_id, event_type, event_id, value from r where n = 1""")
-def dedupe_invoice(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return read(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_type", "event_id", "value")
-
-
 @query("select doc_id, n_chars from documents where doc_id % 5 = 0 or doc_id % 7 = 0")
 def incremental_manifest(spark, sf_dir):
     files = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("length"), F.timestamp_seconds("doc_id").alias("modificationTime"), "n_chars")
@@ -505,3 +481,7 @@ def line_cluster(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
     words = d.select(F.col("doc_id").cast("string").alias("source_file"), F.floor(F.col("i") / 400).cast("int").alias("page_no"), "text", (F.col("i") % 10 * 50.0).alias("x0"), (F.col("i") % 10 * 50.0 + 40).alias("x1"), (F.floor(F.col("i") % 400 / 10) * 12 + F.col("i") % 3 * 0.9).alias("top"), (F.floor(F.col("i") % 400 / 10) * 12 + 10.0).alias("bottom"))
     return G.cluster_lines(words, ["source_file", "page_no"]).select("source_file", "page_no", "line_no", "top", "text")
+
+
+QUERIES |= cases.QUERIES
+ORACLES |= cases.ORACLES

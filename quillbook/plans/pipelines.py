@@ -17,6 +17,8 @@ from quillbook.sources import layout
 
 #: Why a document is rejected, what is said of it, what to do; in the order in which it is tried.
 STATUTORY_GATES = {
+    "EncryptedPDF": ("The file is locked with a password.", "Save it without a password and try again."),
+    "ParserError": ("The file couldn't be read.", "Check that it opens; get it anew."),
     "NeedsOCR": ("No readable text layer was found.", "Run OCR on the file and try again."),
     "MixedDocument": ("Pages belong to more than one kind of document.", "Split the file by document."),
     "AmbiguousType": ("More than one form fits about as well.", "Check the file; split it if it is a bundle."),
@@ -25,6 +27,8 @@ STATUTORY_GATES = {
     "NeedsStructuredOCR": ("Tables of this return can't be read from OCR text.", "Use the original file."),
 }
 BANK_GATES = {
+    "EncryptedPDF": ("The file is locked with a password.", "Save it without a password and try again."),
+    "ParserError": ("The file couldn't be read.", "Check that it opens; get it anew."),
     "NeedsOCR": ("No readable text layer was found.", "Run OCR on the file and try again."),
     "MixedDocument": ("Pages belong to more than one bank.", "Split the file by statement."),
     "UnsupportedDocument": ("This kind of statement isn't read.", "Leave it out."),
@@ -44,13 +48,17 @@ def gated(docs: DataFrame, gates: dict[str, tuple[str, str]], rules: dict[str, C
 def errors(docs: DataFrame, gates: dict[str, tuple[str, str]]) -> DataFrame:
     look = F.create_map(*[x for k, v in gates.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     bad = docs.where("reject_reason is not null").withColumn("m", F.element_at(look, F.col("reject_reason")))
-    return bad.select(F.col("source_file").alias("File"), F.col("reject_reason").alias("Error_Type"), T.cut_message(F.get("m", F.lit(0))).alias("Message"), F.get("m", F.lit(1)).alias("Action"))
+    return bad.select(F.col("source_file").alias("File"), F.col("reject_reason").alias("Error_Type"), T.cut_message(F.coalesce("error", F.get("m", F.lit(0)))).alias("Message"), F.get("m", F.lit(1)).alias("Action"))
+
+
+def _unread() -> dict[str, Column]:
+    return {"EncryptedPDF": F.col("error").rlike("(?i)password|encrypt"), "ParserError": F.col("error").isNotNull()}
 
 
 def classified(pages: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
     docs = C.with_forms(layout.documents(pages, sidecars), pages="pages")
     f = F.col("form")
-    return gated(docs, STATUTORY_GATES, {
+    return gated(docs, STATUTORY_GATES, _unread() | {
         "NeedsOCR": F.col("needs_ocr"), "MixedDocument": F.col("mixed"), "AmbiguousType": ~f["accepted"] & (f["score"] > 0), "UnknownType": ~f["accepted"],
         "ScannedShippingBill": (f["return_type"] == "SB") & F.col("ocr_used"), "NeedsStructuredOCR": f["return_type"].isin("GSTR1", "GSTR3B") & F.col("ocr_used"),
     })
@@ -98,8 +106,8 @@ def statutory(pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: Da
 def bank(pages: DataFrame, cells: DataFrame, sidecars: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a batch of bank documents."""
     docs = C.with_banks(layout.documents(pages, sidecars))
-    other = (F.col("unsupported.score") > 0) & (F.col("unsupported.score") >= F.col("bank.score"))
-    docs = gated(docs, BANK_GATES, {"NeedsOCR": F.col("needs_ocr"), "MixedDocument": F.col("mixed"), "UnsupportedDocument": other, "UnknownBankLayout": ~F.col("bank.clear")})
+    other = (F.col("unsupported.score") > 0) & ~F.col("accepted")
+    docs = gated(docs, BANK_GATES, _unread() | {"NeedsOCR": F.col("needs_ocr"), "MixedDocument": F.col("mixed"), "UnsupportedDocument": other, "UnknownBankLayout": ~F.col("bank.clear")})
     of = lambda attr: F.element_at(F.create_map(*[F.lit(x) for b in banks.BANKS for x in (b.code, getattr(b, attr))]), F.col("bank.code"))
     docs = docs.withColumns({"debt": F.when(F.col("bank").isNotNull(), of("debt")), "layout": of("layout")}).persist()
     good = docs.where("reject_reason is null")
@@ -111,12 +119,12 @@ def bank(pages: DataFrame, cells: DataFrame, sidecars: DataFrame | None = None)
     summary = B.bank_ledger(meta, recon, good)
     held = B.deposits(only("deposits"))
     totals = B.deposit_totals(held)
-    fd = B.metadata(good.where("layout = 'deposits'")).drop("PeriodTo").join(totals, "source_file", "left")
-    codes = F.coalesce("codes", F.array(F.lit("NO_DEPOSITS")))
+    fd = B.metadata(good.where("layout = 'deposits'")).drop("PeriodTo").join(totals, "source_file", "left").join(good.select("source_file", "ocr_used"), "source_file")
+    codes = F.coalesce("codes", F.array(F.when(F.col("ocr_used"), "STRUCTURED_OCR_REQUIRED").otherwise("NO_DEPOSITS")))
     fd = fd.select(F.lit("FD").alias("ReturnType"), F.lit("Deposit").alias("DocKind"), F.col("AccountNumber").alias("EntityID"), F.col("AccountName").alias("EntityName"), F.col("PeriodTo").alias("PeriodDate"), F.when(F.size(codes) > 0, "Review").otherwise("OK").alias("Status"), F.array_join(codes, "; ").alias("Flags"), "PrimaryAmount", F.col("AccountNumber").alias("DocRef"), F.col("source_file").alias("SourceFile"))
     summary = L.union_all([summary, L.consolidated(fd)])
     carry = good.select("source_file", F.col("bank.bank").alias("Bank"))
     return {
         "Bank_Summary": summary, "Dashboard": L.dashboard(summary), "Transactions": rows.join(carry, "source_file"), "Fixed_Deposits": held.join(carry, "source_file"),
-        "Reconciliation": recon, "Validation_Findings": summary.select("SourceFile", "ReturnType", F.explode(T.split_flags(F.col("Flags"))).alias("Code")), "Parsing_Errors": errors(docs, BANK_GATES),
+        "Reconciliation": B.review_first(recon), "Review_Evidence": B.evidence(meta), "Validation_Findings": summary.select("SourceFile", "ReturnType", F.explode(T.split_flags(F.col("Flags"))).alias("Code")), "Parsing_Errors": errors(docs, BANK_GATES),
     }

@@ -77,3 +77,19 @@ ANALYSIS = [
 REQUIRED = ANALYSIS[:39]
 #: The checks whose outcome the checksum matrix lists for every return.
 KNOWN_CHECKS = ["Payment_Recon_6_1", "ITC_Math_Integrated_tax", "ITC_Math_Central_tax", "ITC_Math_State_UT_tax", "ITC_Math_Cess", "RCM_CrossCheck"]
+
+#: Field: labels and form of the value, on the first page of the outward-supplies return.
+OUTWARD_META = {
+    "GSTIN": (["GSTIN"], "[A-Z0-9]{15}"), "Legal_Name": (["Legal name of the registered person"], r"[^\n]+"), "Trade_Name": (["Trade name, if any", "Trade name if any"], r"[^\n]+"), "ARN": (["ARN"], r"[A-Z]{2}[A-Z0-9]*\d[A-Z0-9]*"),
+    "ARN_Date": (["ARN date", "Date of ARN"], r"[\d/]+"), "FY": (["Financial year"], r"[\d\-]+"), "Period": (["Tax period"], "[A-Za-z]+"),
+}
+#: The same for the summary return.
+SUMMARY_META = {
+    "GSTIN": (["GSTIN of the supplier"], "[A-Z0-9]+"), "Period": (["Period"], "[A-Za-z]+"), "Year": (["Year"], r"[\d\-]+"), "Legal_Name": (["Legal name of the registered person"], r"[^\n]+"), "Trade_Name": (["Trade name, if any"], r"[^\n]+"),
+    "ARN": (["ARN"], r"[A-Z]{2}[A-Z0-9]*\d[A-Z0-9]*"), "Date_of_ARN": (["Date of ARN"], r"[\d/]+"),
+}
+#: Column of the payment table: what its header has to say, and what it must not say; the first that fits.
+PAYMENT_WORDS = [
+    ("Description", ["descrip"], []), ("Net_Tax_Payable", ["net tax"], []), ("Adjustment", ["adjustment"], []), ("Adjustment", ["negative"], []), ("Tax_Payable", ["payable"], ["net"]), ("ITC_Integrated", ["integrated"], []), ("ITC_Central", ["central"], []),
+    ("ITC_State_UT", ["state"], []), ("ITC_State_UT", ["ut"], []), ("ITC_Cess", ["cess"], []), ("Tax_paid_cash", ["cash"], ["interest", "late"]), ("Interest_paid_cash", ["interest"], []), ("Late_fee_paid_cash", ["late"], []),
+]

@@ -17,6 +17,8 @@ WORDS = "source_file string, page_no int, text string, x0 double, x1 double, top
 def folder(spark: SparkSession, path: str, any_case: bool = False) -> DataFrame:
     """PDF files of one folder, not below it. Names are unique: of those equal but for case, later ones get __2, __3, …"""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]" if any_case else "*.pdf").load(path)
+    if files.select("path").isEmpty():
+        raise ValueError(f"no PDF files in {path}")
     name = F.regexp_extract("path", r"[^/]+$", 0)
     n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("path"))
     return files.withColumn("n_", n).withColumn("source_file", F.when(F.col("n_") == 1, name).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit("__"), F.col("n_").cast("string"), F.lit("."), F.regexp_extract(name, r"[^.]+$", 0)))).drop("n_")
@@ -41,9 +43,11 @@ def ocr_pages(value: Column) -> Column:
 
 
 def documents(pages: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
-    """One row a document: pages, text, needs_ocr, sparse_text, ocr_used. Scanned pages are replaced by OCR where there is
-    any. A first page of under 20 characters means a scan; under 80 characters a page on average is sparse."""
-    got = pages.groupBy("source_file").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce(F.trim("text"), F.lit("")).alias("t")))), lambda x: x["t"]).alias("native"))
+    """One row a document: pages, text, needs_ocr, sparse_text, ocr_used, error. Scanned pages are replaced by OCR where there
+    is any. A first page of under 20 characters means a scan; under 80 characters a page on average is sparse. `error` is
+    what the reader said of a file that it couldn't read, if pages tells."""
+    error = F.max("error") if "error" in pages.columns else F.lit(None).cast("string")
+    got = pages.groupBy("source_file").agg(error.alias("error"), F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce(F.trim("text"), F.lit("")).alias("t")))), lambda x: x["t"]).alias("native"))
     got = got.join(sidecars, "source_file", "left") if sidecars is not None else got.withColumn("ocr_pages", F.lit(None).cast("array<string>"))
     got = preflight(got, "native")
     use = F.col("needs_ocr") & (F.size(F.coalesce("ocr_pages", F.array())) > 0)
@@ -58,6 +62,33 @@ def preflight(docs: DataFrame, pages: str = "pages") -> DataFrame:
     return docs.withColumns({"needs_ocr": (n > 0) & ((first < 20) | (chars < 20)), "sparse_text": (n > 0) & ((first < 20) | (chars < 80 * n))})
 
 
+def read_pdf_layout(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """cells and words from binary files, by the same library; files that it can't read have none (read_pdf_text tells why)."""
+
+    def rows(batches: Iterator[pd.DataFrame], what: str) -> Iterator[pd.DataFrame]:
+        import io
+
+        names = [c.split(" ")[0] for c in (CELLS if what == "cells" else WORDS).split(", ")]
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                try:
+                    import pdfplumber
+
+                    with pdfplumber.open(io.BytesIO(r.content)) as pdf:
+                        for n, page in enumerate(pdf.pages, 1):
+                            if what == "cells":
+                                out += [(r.source_file, n, t, k, row) for t, table in enumerate(page.extract_tables(), 1) for k, row in enumerate(table, 1)]
+                            else:
+                                out += [(r.source_file, n, w["text"], w["x0"], w["x1"], w["top"], w["bottom"], w.get("upright", True)) for w in page.extract_words()]
+                except Exception:  # its error row is read_pdf_text's
+                    continue
+            yield pd.DataFrame(out, columns=names)
+
+    source = files.select("source_file", "content")
+    return source.mapInPandas(lambda b: rows(b, "cells"), CELLS), source.mapInPandas(lambda b: rows(b, "words"), WORDS)
+
+
 def read_pdf_text(files: DataFrame) -> DataFrame:
     """pages from binary files, by a PDF library if the executors have one; else, and where it fails, an error column."""
 

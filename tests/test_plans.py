@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from quillbook.plans import catalogue, pipelines
 from quillbook.sources import layout, sinks
-from tests.test_forms import TEXTS
+from quillbook.plans.fixtures import TEXTS, batch
 from tests.test_tables import CELLS
 
 SF = "/root/testdata/sf0.001"
@@ -48,12 +48,6 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def batch(spark):
-    pages = [(f"{f}_{k}.pdf", 1, t + "\n" + "PROVIDENT FUND ORGANISATION " * (f == "PF") + "x" * 100) for (f, k), (t, _) in TEXTS.items() if f != "EWB"]
-    pages += [("scan.pdf", 1, "x"), ("tie.pdf", 1, "GSTR-1 GSTR-3B " + "x" * 80), ("odd.pdf", 1, "nothing known here " * 6), ("mix.pdf", 1, "E-WAY BILL NO 1 " + "x" * 90), ("mix.pdf", 2, "FORM_IIIB " + "y" * 90)]
-    return spark.createDataFrame(pages, "source_file string, page_no int, text string"), spark.createDataFrame([], CELLS), spark.createDataFrame([], layout.WORDS)
-
-
 def test_statutory_batch(spark, tmp_path):
     sheets = pipelines.statutory(*batch(spark))
     ledger = {r.SourceFile: r for r in sheets["Consolidated"].collect()}
@@ -77,6 +71,7 @@ def test_bank_batch(spark):
     sheets = pipelines.bank(pages, cells)
     r = sheets["Bank_Summary"].first()
     assert (r.ReturnType, r.EntityID, r.Status, r.ClosingBalance, r.Confidence, r.RowsExtracted) == ("BANK", "12345678", "OK", 900.0, 100, 1)
+    assert {r.Field: r.Found for r in sheets["Review_Evidence"].collect()} == {c: True for c in ("AccountNumber", "AccountName", "Currency", "PeriodFrom", "PeriodTo", "OpeningBalance", "ClosingBalance")}
     assert sheets["Transactions"].count() == 1 and [e.Error_Type for e in sheets["Parsing_Errors"].collect()] == ["UnsupportedDocument"]
 
 
@@ -91,8 +86,21 @@ def test_folder_and_manifest(spark, tmp_path):
     layout.append_manifest(files, where)
     assert layout.unread(files, layout.read_manifest(spark, where)).count() == 0
     assert layout.unread(files, layout.read_manifest(spark, where, version=2)).count() == 2
-    bad = layout.read_pdf_text(files).collect()
-    assert len(bad) == 2 and all(r.error for r in bad)
+    bad = layout.read_pdf_text(files)
+    assert bad.count() == 2 and all(r.error for r in bad.collect())
+    cells, words = layout.read_pdf_layout(files)
+    assert cells.collect() == words.collect() == []
+    turned_down = pipelines.statutory(bad, cells, words)["Parsing_Errors"].collect()
+    assert {r.Error_Type for r in turned_down} == {"ParserError"} and all(r.Message for r in turned_down)
+    with pytest.raises(ValueError):
+        layout.folder(spark, str(tmp_path / "manifest"))
+
+
+def test_deposits_that_were_scanned_need_their_tables(spark):
+    pages = spark.createDataFrame([("f.pdf", 1, "x")], "source_file string, page_no int, text string")
+    ocr = spark.createDataFrame([("f.pdf", ["IDFC FIRST list of fixed deposits FD account no maturity amount " + "y" * 60])], "source_file string, ocr_pages array<string>")
+    rows = pipelines.bank(pages, spark.createDataFrame([], CELLS), ocr)["Bank_Summary"].collect()
+    assert [r.Flags for r in rows] == ["STRUCTURED_OCR_REQUIRED"]
 
 
 def test_stream_of_pages(spark, tmp_path):

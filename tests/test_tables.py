@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillbook.operators import bank as B
 from quillbook.operators import geometry as G
 from quillbook.parsers import bill, gst
+from quillbook.plans import fixtures
 
 CELLS = "source_file string, page_no int, table_no int, row_no int, cells array<string>"
 
@@ -52,14 +53,7 @@ def test_sections_are_carried_and_missing_ones_are_zero(spark):
 
 
 def three_b(spark, with_payments=True):
-    supplies = [["Nature of Supplies", "Total taxable value", "Integrated tax", "Central tax", "State/UT tax"], ["(a) Outward taxable supplies (other than zero rated)", "1,000", "100", "50", "50"], ["(b) Outward taxable supplies (zero rated)", "0", "0", "0", "0"], ["(c) Other outward supplies", "0", "0", "0", "0"], ["(d) Inward supplies (liable to reverse charge)", "10", "1", "0", "0"]]
-    credit = [["Details", "Integrated tax", "Central tax", "State/UT tax", "Cess"], ["A. ITC Available", "", "", "", ""], ["(3) Inward supplies liable to reverse charge", "1", "0", "0", "0"], ["(5) All other ITC", "59", "20", "20", "0"], ["B. ITC Reversed", "", "", "", ""], ["(1) As per rules", "10", "0", "0", "0"], ["C. Net ITC available (A-B)", "50", "20", "20", "0"]]
-    pay = [["Description", "Net Tax", "Tax paid through ITC", None, None, None, "Tax paid in cash", "Interest\npaid in cash", "Late fee"], ["", "Payable", "Integrated", "Central", "State/UT", "Cess", "", "", ""], ["(A) Other than reverse charge", *[None] * 8], ["Integrated tax", "100", "60", "0", "0", "0", "40", "1", "0"], ["Central tax", "50", "0", "20", "0", "0", "30", "0", "0"], ["State/UT tax", "50", "0", "0", "20", "0", "30", "0", "2"], ["(B) Reverse charge", *[None] * 8], ["Integrated tax", "1", "0", "0", "0", "0", "1", "0", "0"], ["Central tax", "0", "0", "0", "0", "0", "0", "0", "0"], ["State/UT tax", "0", "0", "0", "0", "0", "0", "0", "0"]]
-    tables = [supplies, credit, *([pay] if with_payments else [])]
-    cells = spark.createDataFrame([("a", 1, t, n, row) for t, rows in enumerate(tables) for n, row in enumerate(rows)], CELLS)
-    text = "GSTR-3B\nYear 2025-26\nPeriod June\nGSTIN of the supplier 27ABCDE1234F1Z5\nLegal name of the registered person ACME\nTrade name, if any ACME T\nARN AA270625\nDate of ARN 20/07/2025"
-    pages = spark.createDataFrame([("a", 1, text)], "source_file string, page_no int, text string")
-    return gst.gstr3b(pages, cells)
+    return gst.gstr3b(*fixtures.three_b(spark, with_payments))
 
 
 def test_analysis_row(spark):
@@ -102,28 +96,8 @@ def test_zones(spark):
     assert df.select(G.zones(F.col("a"), F.col("v"))).first()[0] == ["1 2", "3"]
 
 
-def bill_words(spark):
-    """Two pages: part one with its value grid, part three with one item; part four with its tables."""
-    def line(page, top, text, xs=None):
-        out, x = [], 40.0
-        for k, t in enumerate(text.split()):
-            x0 = xs[k] if xs else x
-            out.append(("a.pdf", page, t, float(x0), float(x0 + 5 * len(t)), float(top), float(top + 8), True))
-            x = x0 + 5 * len(t) + 4
-        return out
-
-    rows = []
-    for top, t in ((10, "PART - I - x"), (20, "INDIAN CUSTOMS EDI SYSTEM INBOM1 1234567 05-MAY-25"), (30, "IEC/Br 0312345678 1"), (40, "GSTIN/TYPE 27ABCDE1234F1Z5 GSN"), (50, "Nos 1 1 1"), (60, "12.PORT OF LOADING INBOM1 (Mumbai) 13.COUNTRY OF FINAL DESTINATION GERMANY")):
-        rows += line(1, top, t)
-    rows += line(1, 100, "1.FOB VALUE 2.FREIGHT 3.INSURANCE", [40, 90, 140, 240]) + line(1, 110, "1,000.50 20 .81", [42, 145, 245])
-    rows += line(2, 10, "PART - II - x") + line(2, 20, "1.S.No 2.INVOICE") + line(2, 30, "1 INV/1 01/05/2025 FOB") + line(2, 40, "1.INVOICE VALUE 2.FOB VALUE") + line(2, 50, "12.5 12.5 0 0 1 USD INR 80.0") + line(2, 60, "1.ItemSNo 2.HS CD") + line(2, 70, "1 84137010 pumps of 2 sizes 5 NOS 2.5 12.5") + line(2, 80, "and more") + line(2, 90, "Glossary x")
-    rows += line(3, 10, "PART - III - x") + line(3, 20, "1INVSN 2ITEMSN") + line(3, 30, "1 1 84137010 pumps 5 NOS 2.5 12.5 1000.50 90") + line(3, 40, "of steel") + line(3, 50, "11.DUTYAMT") + line(3, 60, "0 Y LUT 60")
-    rows += line(4, 10, "PART - IV - x") + line(4, 20, "M. RODTEP DETAILS") + line(4, 30, "1 1 5 NOS 5 10.25") + line(4, 40, "I. CONTAINER DETAILS") + line(4, 50, "1 ABCD1234567 S1 05-MAY-25") + line(4, 60, "H. INVOICE DETAILS") + line(4, 70, "1 INV/1 12.5 USD") + line(4, 80, "1 INV/1 12.5 USD")
-    return spark.createDataFrame(rows, "source_file string, page_no int, text string, x0 double, x1 double, top double, bottom double, upright boolean")
-
-
 def test_a_bill(spark):
-    doc = bill.parse(bill_words(spark)).cache()
+    doc = bill.parse(fixtures.bill_words(spark)).cache()
     r = doc.first()
     assert (r.sb_no, r.port_code, r.iec, r.gstin, r.fob_value_inr, r.freight_inr, r.insurance_inr) == ("1234567", "INBOM1", "0312345678", "27ABCDE1234F1Z5", 1000.5, 20.0, 0.81)
     assert [(i.invoice_no, i.invoice_value, i.currency) for i in r.invoices] == [("INV/1", 12.5, "USD")]
@@ -135,3 +109,11 @@ def test_a_bill(spark):
     row = bill.ledger(doc).first()
     assert (row.EntityID, row.PrimaryAmount, row.PeriodDate, row.Flags) == ("0312345678", 1000.5, date(2025, 5, 5), "FIELDS?")
     assert bill.item_rows(doc).first().Invoice_No == "INV/1" and bill.invoice_rows(doc).count() == 1 and bill.flat_rows(doc).first().Items == 1
+
+
+def test_an_item_of_many_lines_is_read_to_its_end(spark):
+    words = fixtures.bill_words(spark)
+    rows = [("b.pdf", 3, t, x, x + 5.0 * len(t), top, top + 8, True) for top, line in [(10.0, "PART - III - x"), (20.0, "1INVSN 2ITEMSN"), (30.0, "1 1 84137010 pumps 5 NOS 2.5 12.5 1000.50 90"), *[(40.0 + 10 * k, f"more{k}") for k in range(1500)]] for x, t in zip(range(40, 4000, 60), line.split(), strict=False)]
+    long = spark.createDataFrame([(f, p, t, float(x), float(x1), float(a), float(b), u) for f, p, t, x, x1, a, b, u in rows], words.schema)
+    text = bill.items(bill.lines_of(long)).first().description
+    assert text.startswith("pumps more0 more1 ") and text.endswith("more1499")

@@ -128,7 +128,7 @@ def tokenizer(json_path: str, ranks_path: str):
 
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, json_path: str, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32, and `ids` (array<long>) on request.
+    """One row a piece: doc_id, piece, start, length, ids_crc32, and `ids` (array<int>) on request.
 
     A document is its ids and end_id. One of more than `capacity` ids is cut into pieces of exactly `capacity`, except the
     first, which has what remains. A null text is an empty one: one piece, end_id alone.
@@ -144,17 +144,17 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, json_path: str, ranks_pa
                 start, k, doc = 0, 0, doc.as_py()
                 while start < len(ids):
                     part = ids[start : start + (capacity if k else first)]
-                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype("i8") if with_ids else None))
+                    out.append((doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype("i4") if with_ids else None))
                     start, k = start + len(part), k + 1
             columns = list(zip(*out, strict=True)) or [[]] * 6
             arrays = [pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.int32()), *(pa.array(columns[i], pa.int64()) for i in (2, 3, 4))]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                arrays, names = [*arrays, pa.array(columns[5], pa.list_(pa.int64()))], [*names, "ids"]
+                arrays, names = [*arrays, pa.array(columns[5], pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.record_batch(arrays, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return in_small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 

@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op1_stratified_shards": sharding.OP1_SQL,
     "op2_divergence_rules": quality.OP2_SQL,
+    "op4_credential_links": secrets.OP4_SQL,
     "op6_induced_suffixes": suffixes.OP6_SQL,
     "op10_relative_lz": relative_lz.OP10_SQL,
 }

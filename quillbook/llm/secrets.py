@@ -10,6 +10,8 @@ it, decide exactly whether one is in reach.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +144,50 @@ def redacted(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
 def op4_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *[of_kind(F.col("base"), k).alias(f"n_{k}") for k in BASE], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _either_case(names: str) -> str:
+    """Letters in both cases, spelled out: RE2's own folding reaches beyond ASCII."""
+    return re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", names)
+
+
+_SEPARATED = r"""["']?\x20*[:=]\x20*["']?"""
+#: The kinds as RE2 writes them: pattern, and the group that must be long enough. The first group is what lies before the match:
+#: it stands for the lookbehind. Opaque runs are taken with all signs that follow, and judged by what comes after.
+_RE2 = {
+    "assign": (f"()({_either_case('password|passwd|secret|token|api_?key')}){_SEPARATED}([A-Za-z0-9+/_.=-]+)", 3),
+    "access": ("()AKIA[A-Z0-9]+", 0),
+    "hex": ("()[0-9a-f]{24,}", 0),
+    "login": (f"(^|[^A-Za-z0-9])({_either_case('client_?id|user_?name|user|login|account|access_key_id')}){_SEPARATED}([A-Za-z0-9@+/_.-]+)", 3),
+    "opaque": ("()[A-Za-z0-9+/_-]{32,}=*", 0),
+    "endpoint": (rf"""()({_either_case("https?|ftp|postgres(ql)?|mysql|redis|amqps?|mongodb")}|{_either_case("jdbc")}:[A-Za-z]+)://[^\x00-\x20"'<>]+""", 0),
+}
+
+
+def _matches(kind: str) -> str:
+    pattern, group = _RE2[kind]
+    quoted, least = "'" + pattern.replace("'", "''") + "'", (BASE | WEAK)[kind][2]
+    found = f"unnest(regexp_extract_all(t, {quoted})) as m, unnest(regexp_extract_all(t, {quoted}, 1)) as before, unnest(regexp_extract_all(t, {quoted}, {group})) as j, unnest(regexp_split_to_array(t, {quoted})) as gap"
+    places = f"select *, sum(length(gap) + length(m)) over (partition by r order by i) as stop from (select r, t, {found}, unnest(range(len(regexp_extract_all(t, {quoted})))) as i from d) where m is not null"
+    alone = r" and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and not ends_with(m, '===') and not regexp_matches(substr(t, stop::bigint + 1, 1), '[A-Za-z0-9+/_-]')" if kind == "opaque" else ""
+    return f"select r, {KINDS.index(kind)} as k, (stop - length(m) + length(before))::bigint as a, stop::bigint as b, '{PART[kind]}' as part from ({places}) where length(j) >= {least}{alone}"
+
+
+_NAMES = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+_BASE_RANKS, _ALL_SPANS = f"k < {len(BASE)}", "coalesce(string_agg(kind || ':' || a || ':' || b, ',' order by a, k), '')"
+OP4_SQL = f"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+found as materialized ({" union all ".join(_matches(k) for k in KINDS)}),
+near as (
+  select distinct w.r, w.k, w.a, w.part, x.part as other from found w join found x on w.r = x.r
+  where w.k >= {len(BASE)} and abs(w.a - x.a) <= {SCOPE} and (x.b <= w.a or x.a >= w.b)),
+linked as (
+  select r, k, a from near group by r, k, a, part
+  having case part {" ".join(f"when '{p}' then " + " and ".join(f"bool_or(other = '{n}')" for n in needs) for p, needs in NEEDS.items())} end),
+spans as (
+  select r, k, a, b, {_NAMES}[k + 1] as kind from found
+  where {_BASE_RANKS} or exists (select 1 from linked l where l.r = found.r and l.k = found.k and l.a = found.a))
+select doc_id, {", ".join(f"count(*) filter (k = {i}) as n_{k}" for i, k in enumerate(BASE))},
+  sha256({_ALL_SPANS.replace(" order by a, k)", f" order by a, k) filter ({_BASE_RANKS})")}) as base_sha256, {_ALL_SPANS} as spans
+from d left join spans using (r) group by r, doc_id
+"""

@@ -476,7 +476,16 @@ def incremental_manifest(spark, sf_dir):
     return layout.unread(files, manifest).select("doc_id", "n_chars")
 
 
-@query()
+@query(rf"""with recursive
+d as (select doc_id::varchar as source_file, unnest(w) as text, unnest(range(len(w))) as i from (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from documents)),
+p as (select source_file, (i // 400)::int as page_no, text, i % 10 * 50.0::double as x0, (i % 400 // 10) * 12 + i % 3 * 0.9::double as top from d),
+s as materialized (select *, row_number() over (partition by source_file, page_no order by round(top, 1), x0) as k from p),
+walk as (
+  select source_file, page_no, k, 0 as line_no, top as anchor from s where k = 1
+  union all
+  select s.source_file, s.page_no, s.k, line_no + (abs(s.top - anchor) > {N.DEFAULT.line})::int, case when abs(s.top - anchor) > {N.DEFAULT.line} then s.top else anchor end
+  from walk join s on s.source_file = walk.source_file and s.page_no = walk.page_no and s.k = walk.k + 1)
+select source_file, page_no, line_no, min(top) as top, string_agg(text, ' ' order by x0) as text from walk join s using (source_file, page_no, k) group by all""")
 def line_cluster(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
     words = d.select(F.col("doc_id").cast("string").alias("source_file"), F.floor(F.col("i") / 400).cast("int").alias("page_no"), "text", (F.col("i") % 10 * 50.0).alias("x0"), (F.col("i") % 10 * 50.0 + 40).alias("x1"), (F.floor(F.col("i") % 400 / 10) * 12 + F.col("i") % 3 * 0.9).alias("top"), (F.floor(F.col("i") % 400 / 10) * 12 + 10.0).alias("bottom"))

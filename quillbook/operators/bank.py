@@ -168,7 +168,8 @@ def bank_ledger(meta: DataFrame, recon: DataFrame, docs: DataFrame) -> DataFrame
 
 
 def review_first(recon: DataFrame) -> DataFrame:
-    return recon.orderBy(F.when(F.col("Status") == "PASS", 1).otherwise(0), "source_file")
+    """By status, bank and file."""
+    return recon.orderBy(F.when(F.col("Status") == "PASS", 1).otherwise(0), "Bank", "source_file")
 
 
 def evidence(meta: DataFrame) -> DataFrame:

@@ -78,15 +78,15 @@ def sheet_amount() -> Column:
 
 def sheet_pf(parsed: Column) -> Column:
     uneven = F.abs(F.col("Employee_EPF_AC01") - F.col("Employer_EPF_AC01") - F.col("Employer_EPS_AC10")) > 1
-    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), (F.col("Employer_EPS_AC10") > F.col("Employee_EPF_AC01"), "EPS>EPF?"), (uneven, "EE<>ER(EPF+EPS)"), (F.col("PF_Admin_AC02") == 0, "NO ADMIN")])
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), (F.col("Employer_EPS_AC10") > F.col("Employer_EPF_AC01") + 1, "EPS>EPF?"), (uneven, "EE<>ER(EPF+EPS)"), (F.coalesce("PF_Admin_AC02", F.lit(0.0)) == 0, "NO ADMIN")])
 
 
 def sheet_ptrc(parsed: Column) -> Column:
-    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), _not_positive(_c("PT Paid")), (~F.coalesce(_c("Type of Return").contains("PTRC"), F.lit(False)), "TYPE?")])
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "PERIOD?"), _not_positive(_c("PT Paid")), (~F.coalesce(_c("Type of Return").contains("PTRC"), F.lit(False)), "TYPE?"), (_unknown("EntityID"), "TAN?")])
 
 
 def sheet_tds(parsed: Column) -> Column:
-    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "MONTH?"), (F.abs(_c("Crosscheck Diff")) > 1, "CROSSCHECK"), (F.col("Section").isNull() | (F.col("Section") == "Unknown"), "SECTION?"), (_unknown("EntityID"), "TAN?")])
+    return _joined([(~parsed, "PARSE ERR"), (F.col("PeriodDate").isNull(), "MONTH?"), (F.abs(_c("Crosscheck Diff")) > 1, "CROSSCHECK"), (F.col("Section").isNull() | (F.col("Section") == "Unknown"), "SECTION?"), _not_positive(_c("Total Amount Paid"))])
 
 
 def sheet_esic(parsed: Column) -> Column:

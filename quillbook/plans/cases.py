@@ -19,7 +19,7 @@ from quillbook.operators import flags
 from quillbook.operators import geometry as G
 from quillbook.operators import ledger as L
 from quillbook.parsers import bill, forms, gst
-from quillbook.plans import facts, fixtures, pipelines
+from quillbook.plans import facts, fixtures, pipelines, sheets
 from quillbook.rules import banks
 from quillbook.sources import layout
 
@@ -221,3 +221,37 @@ def _zones(spark: SparkSession) -> DataFrame:
 case("word_zones", _zones, {"p": {"zones": "1 2|3"}})
 case("word_lines", lambda spark: G.cluster_lines(spark.createDataFrame([("a", 1, f"w{i}", float(i), i + 0.5, t, t + 1) for i, t in enumerate([10.0, 11.5, 13.0, 15.6, 16.0])], "source_file string, page_no int, text string, x0 double, x1 double, top double, bottom double"), ["source_file", "page_no"]).withColumn("k", F.row_number().over(G.Window.orderBy("line_no"))), {"1": {"text": "w0 w1"}, "2": {"text": "w2"}, "3": {"text": "w3 w4"}}, key="k")
 case("ledger_columns", lambda spark: spark.createDataFrame([(",".join(L.lead_columns(spark.createDataFrame([(1, 2, 3)], "z int, ReturnType int, SourceFile int"), ["SourceFile", "ReturnType"]).columns), "f")], "columns string, SourceFile string"), {"f": {"columns": "SourceFile,ReturnType,z"}})
+
+
+def _challan_cells(spark: SparkSession) -> DataFrame:
+    rows = [("t.pdf", r) for r in (["TAN :", "ABCD12345E"], ["Name", "Acme Ltd", None, "Financial Year", "2024-25"], ["Nature of Payment", "194C Contractors"], ["Major Head", "Corporation Tax (0020)"], ["Challan No", "00123"], ["Date of Deposit", "05-Jun-2025"], ["Amount (in Rs.)", "Rs 1,050.00"], ["Tax", "1,000"], ["Surcharge", "0"], ["Cess", "0"], ["Interest", "50"], ["Penalty", "0"])]
+    rows += [("u.pdf", r) for r in (["Amount (in Rs.)", "100"], ["Tax", "90"], ["Major Head", "Other than companies"])]
+    return spark.createDataFrame([(f, 1, 1, i, r) for i, (f, r) in enumerate(rows)], layout.CELLS)
+
+
+def _sheet_tds(spark: SparkSession) -> DataFrame:
+    return sheets.tds(_challan_cells(spark), spark.createDataFrame([("e.pdf",)], "source_file string"))
+
+
+case("sheet_tds", _sheet_tds, {
+    "t.pdf": {"EntityID": "ABCD12345E", "EntityName": "Acme Ltd", "FY": "2025-26", "MonthName": "May", "MonthIndex": 2, "Section": "194C", "Major Head": "Corporation Tax", "Challan No": "00123", "Payment Date": "2025-06-05", "PeriodDate": "2025-05-01", "PrimaryAmount": 1050.0, "Flags": "", "Status": "OK"},
+    "u.pdf": {"EntityID": "Unknown", "EntityName": "", "FY": "Unknown", "MonthName": "Unknown", "MonthIndex": 0, "Section": "Unknown", "Major Head": "Other than Companies", "Challan No": "", "PrimaryAmount": 100.0, "Flags": "MONTH?; CROSSCHECK; SECTION?", "Status": "Review"},
+    "e.pdf": {"EntityID": "ERROR", "EntityName": "e.pdf", "FY": "Unknown", "MonthName": "Unknown", "MonthIndex": 0, "Flags": "PARSE ERR; MONTH?; SECTION?; AMT?", "Status": "Error"},
+})
+
+
+def _all_returns(spark: SparkSession) -> DataFrame:
+    bare = spark.createDataFrame([("PF", "2024-25", 12)], "ReturnType string, FY string, MonthIndex int")
+    return sheets.all_returns([_sheet_tds(spark).where("Status = 'OK'"), None, bare])
+
+
+case("all_returns", _all_returns, {"PF": {"FY": "2024-25", "MonthIndex": 12, "EntityID": None, "PrimaryAmount": None}, "TDS": {"FY": "2025-26", "MonthIndex": 2, "EntityID": "ABCD12345E", "PrimaryAmount": 1050.0}}, key="ReturnType")
+
+
+def _sheet_rules(spark: SparkSession) -> DataFrame:
+    row = spark.createDataFrame([("a", "", None, 100.0, 60.0, 40.0, 5.0, "PTRC", 10.0), ("b", "X", "2025-06-01", 100.0, 40.0, 60.0, None, "Other", 0.0)], "SourceFile string, EntityID string, d string, Employee_EPF_AC01 double, Employer_EPF_AC01 double, Employer_EPS_AC10 double, PF_Admin_AC02 double, `Type of Return` string, `PT Paid` double")
+    row = row.withColumn("PeriodDate", F.col("d").cast("date"))
+    return row.withColumns({"pf": flags.sheet_pf(F.lit(True)), "ptrc": flags.sheet_ptrc(F.lit(True))})
+
+
+case("sheet_rules", _sheet_rules, {"a": {"pf": "PERIOD?", "ptrc": "PERIOD?; TAN?"}, "b": {"pf": "EPS>EPF?; NO ADMIN", "ptrc": "AMT?; TYPE?"}})

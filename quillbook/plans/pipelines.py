@@ -126,5 +126,5 @@ def bank(pages: DataFrame, cells: DataFrame, sidecars: DataFrame | None = None)
     carry = good.select("source_file", F.col("bank.bank").alias("Bank"))
     return {
         "Bank_Summary": summary, "Dashboard": L.dashboard(summary), "Transactions": rows.join(carry, "source_file"), "Fixed_Deposits": held.join(carry, "source_file"),
-        "Reconciliation": B.review_first(recon), "Review_Evidence": B.evidence(meta), "Validation_Findings": summary.select("SourceFile", "ReturnType", F.explode(T.split_flags(F.col("Flags"))).alias("Code")), "Parsing_Errors": errors(docs, BANK_GATES),
+        "Reconciliation": B.review_first(recon.join(carry, "source_file")), "Review_Evidence": B.evidence(meta), "Validation_Findings": summary.select("SourceFile", "ReturnType", F.explode(T.split_flags(F.col("Flags"))).alias("Code")), "Parsing_Errors": errors(docs, BANK_GATES),
     }

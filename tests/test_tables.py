@@ -85,6 +85,18 @@ def test_sheet_rules(spark):
     assert spark.range(1).select(flags.sheet_status(F.lit(""), F.lit(False))).first()[0] == "Error"
 
 
+def test_orders_of_sheets_shards_and_statements(spark):
+    from quillbook.operators import bank
+    from quillbook.plans import sheets
+
+    frame = spark.createDataFrame([("2025-26", 1, "B"), ("2025-26", 1, None), ("2024-25", 12, "Z"), ("2025-26", 1, "A")], "FY string, MonthIndex int, EntityID string")
+    assert [r.EntityID for r in sheets.in_order(frame, "PF").collect()] == ["Z", None, "A", "B"]
+    shards = [spark.createDataFrame([(s,)], "SourceFile string") for s in ("c", "a", "b")]
+    assert [r[0] for r in sheets.merged([*shards[:2], shards[2].withColumn("More", F.lit(1))]).collect()] == ["a", "b", "c"]
+    recon = spark.createDataFrame([("a", "PASS", "X"), ("d", "REVIEW", "Y"), ("c", "REVIEW", "X"), ("b", "REVIEW", "Y")], "source_file string, Status string, Bank string")
+    assert [r.source_file for r in bank.review_first(recon).collect()] == ["c", "b", "d", "a"]
+
+
 def test_lines_are_a_fold_and_no_gap_rule(spark):
     words = spark.createDataFrame([("a", 1, f"w{i}", float(i), i + 0.5, t, t + 1) for i, t in enumerate([10.0, 11.5, 13.0, 15.6, 16.0])], "source_file string, page_no int, text string, x0 double, x1 double, top double, bottom double")
     assert [r.text for r in G.cluster_lines(words, ["source_file", "page_no"]).orderBy("line_no").collect()] == ["w0 w1", "w2", "w3 w4"]

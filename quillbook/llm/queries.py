@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillbook.llm import decontamination, extraction, langid, neardup, packing, quality, relative_lz, secrets, sharding, suffixes
+from quillbook.llm import collocations, decontamination, extraction, langid, neardup, packing, quality, relative_lz, secrets, sentencepieces, sharding, suffixes, whitening
 
 QUERIES = {
     "op1_stratified_shards": sharding.op1_stratified_shards,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_relative_lz": relative_lz.op10_relative_lz,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_sentencepieces": sentencepieces.op12_sentencepieces,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op1_stratified_shards": sharding.OP1_SQL,
@@ -22,4 +25,5 @@ ORACLES = {
     "op4_credential_links": secrets.OP4_SQL,
     "op6_induced_suffixes": suffixes.OP6_SQL,
     "op10_relative_lz": relative_lz.OP10_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }

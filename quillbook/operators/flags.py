@@ -41,7 +41,7 @@ def tds(tol: numbers.Tolerances = numbers.DEFAULT) -> Column:
 
 def esic_ranked(rows: DataFrame) -> DataFrame:
     """Adds Party, by amount within year and printed month over the batch, and Flags."""
-    out = party_rank(rows, ["FY", "Month"], [F.desc("Amount"), F.col("SourceFile")])
+    out = party_rank(rows, ["FY", "Month"], "Amount", ["SourceFile"])
     return out.withColumn("Flags", _joined([(F.col("PeriodDate").isNull(), "PERIOD?"), (F.col("Party") == "Other", "EXTRA CHALLAN"), (F.col("Amount") <= 0, "AMT?")]))
 
 

@@ -6,30 +6,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbook.functions import numbers
+from quillbook.functions.text import bound
 
 WORD = "struct<text:string,x0:double,x1:double,top:double,bottom:double>"
 
 
+def line_starts(tops: Column, tolerance: float) -> Column:
+    """The places (from 0) of an array of tops, sorted to a tenth, at which a new line begins: the first, and from each the
+    next one that lies more than the tolerance below it. Of n words, in n log n steps.
+
+    The greatest top so far, which rises, tells by binary search where the line ends that would begin at a word; following
+    these successors from the first word, 1, 2, 4, … at a time, meets all lines. Exact for tolerances of 0.1 and more.
+    """
+    n = F.size(tops)
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
+    power = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    greatest = F.reduce(rounds, tops, lambda acc, k: F.transform(acc, lambda x, i: F.greatest(x, F.get(acc, F.greatest(i - power(k), F.lit(0))))))
+
+    def successors(high: Column) -> Column:
+        def one(top: Column, i: Column) -> Column:
+            start = F.struct((i + 1).alias("lo"), n.alias("hi"))
+
+            def halve(acc: Column, _: Column) -> Column:
+                mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
+                beyond = F.get(high, mid) > top + tolerance
+                open_ = acc["lo"] < acc["hi"]
+                return F.struct(F.when(open_ & ~beyond, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & beyond, mid).otherwise(acc["hi"]).alias("hi"))
+
+            return F.reduce(rounds, start, halve)["lo"]
+
+        return F.transform(tops, one)
+
+    def follow(next_: Column) -> Column:
+        start = F.struct(F.array(F.lit(0)).alias("met"), next_.alias("jump"))
+
+        def double(acc: Column, _: Column) -> Column:
+            jump = acc["jump"]
+            reached = F.filter(F.transform(acc["met"], lambda i: F.get(jump, i)), lambda i: i < n)
+            return F.struct(F.concat(acc["met"], reached).alias("met"), F.transform(jump, lambda i: F.coalesce(F.get(jump, i), n)).alias("jump"))
+
+        return F.reduce(rounds, start, double)["met"]
+
+    return F.when(n > 0, bound(bound(greatest, successors), follow)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
 def cluster_lines(words: DataFrame, keys: list[str], tolerance: float = numbers.DEFAULT.line) -> DataFrame:
     """keys, line_no, top, words, text from rows of words (text, x0, x1, top, bottom).
 
     A word starts a line if it lies more than the tolerance below that line's first word, which drifts less than the last
-    one does, so this is a fold over a page's words and no gap rule.
+    one does, so no gap rule finds the lines. A page is one row; its lines are cut from it where they begin.
     """
     word = F.struct("text", *[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "top", "bottom")])
     sortable = F.struct(F.round("top", 1).alias("t"), F.col("x0").cast("double").alias("x"), word.alias("w"))
     pages = words.groupBy(*keys).agg(F.array_sort(F.collect_list(sortable)).alias("sorted"))
-    start = F.struct(F.lit(None).cast("double").alias("top"), F.lit(-1).alias("n"), F.expr("cast(array() as array<int>)").alias("line"))
-
-    def step(acc: Column, s: Column) -> Column:
-        new = acc["top"].isNull() | (F.abs(s["w"]["top"] - acc["top"]) > tolerance)
-        n = F.when(new, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.when(new, s["w"]["top"]).otherwise(acc["top"]).alias("top"), n.alias("n"), F.concat(acc["line"], F.array(n)).alias("line"))
-
-    pages = pages.withColumn("line", F.aggregate("sorted", start, step)["line"])
-    flat = pages.select(*keys, F.explode(F.arrays_zip("sorted", "line")).alias("z")).select(*keys, F.col("z.line").alias("line_no"), F.col("z.sorted.w").alias("w"))
-    by_x = F.transform(F.array_sort(F.collect_list(F.struct(F.col("w.x0").alias("x"), "w"))), lambda s: s["w"])
-    lines = flat.groupBy(*keys, "line_no").agg(F.min("w.top").alias("top"), by_x.alias("words"))
+    pages = pages.withColumn("tops", F.transform("sorted", lambda s: s["w"]["top"]))
+    pages = pages.withColumn("starts", line_starts(F.col("tops"), tolerance))
+    ends = lambda i: F.coalesce(F.get(F.col("starts"), i + 1), F.size("sorted"))
+    lines = pages.select(*keys, F.posexplode(F.transform("starts", lambda s, i: F.slice(F.col("sorted"), s + 1, ends(i) - s))).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.array_sort(F.transform("line", lambda s: F.struct(s["x"].alias("x"), s["w"].alias("w")))))
+    lines = lines.select(*keys, "line_no", F.array_min(F.transform("line", lambda s: s["w"]["top"])).alias("top"), F.transform("line", lambda s: s["w"]).alias("words"))
     return lines.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
 
 

@@ -70,10 +70,36 @@ def flag_rate(ledger: DataFrame) -> DataFrame:
     return out.withColumn("FlagRate", F.round(F.try_divide(F.col("Review") + F.col("Errors"), F.col("Records")), 3))
 
 
-def party_rank(rows: DataFrame, keys: list[str], order: list[Column], name: str = "Party") -> DataFrame:
-    """Employer for the largest of a group, Employee for the next, Other for the rest."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("n_", n).withColumn(name, F.when(F.col("n_") == 1, "Employer").when(F.col("n_") == 2, "Employee").otherwise("Other")).drop("n_")
+def top_two(rows: DataFrame, keys: list[str], largest: str, ties: list[str]) -> DataFrame:
+    """keys, first, second: the two rows that come first in each group, as structs of `largest` (falling, nulls last) and
+    ties (rising). Two minima, which are made of partial ones: no group is ever sorted, or gathered in one task. Second is
+    null where all rows of a group are equal in these columns."""
+    place = _place(largest, ties)
+    best = rows.groupBy(*keys).agg(F.min(place).alias("first"))
+    behind = _beside(rows.withColumn("place_", place), best, keys).where(F.col("place_") > F.col("first"))
+    return _beside(best, behind.groupBy(*keys).agg(F.min("place_").alias("second")), keys)
+
+
+def _place(largest: str, ties: list[str]) -> Column:
+    return F.struct(F.col(largest).isNull().alias("none"), (-F.col(largest)).alias("minus"), *[F.struct(F.col(t).isNull().alias("none"), F.col(t).alias("tie")).alias(f"tie_{i}") for i, t in enumerate(ties)])
+
+
+def _beside(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns that found has for their group; nulls are a group. Found has one row a group, so Spark sends it
+    to all tasks where it is small, and splits large groups of rows where it is not."""
+    names = {k: f"{k}_of" for k in keys}
+    for k, n in names.items():
+        found = found.withColumnRenamed(k, n)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return rows.join(found, on, "left").drop(*names.values())
+
+
+def party_rank(rows: DataFrame, keys: list[str], largest: str, ties: list[str], name: str = "Party") -> DataFrame:
+    """Employer for the largest of a group, Employee for the next, Other for the rest. Ties tell rows of one amount apart:
+    rows that are equal in them, too, get the same party."""
+    out = _beside(rows.withColumn("place_", _place(largest, ties)), top_two(rows, keys, largest, ties), keys)
+    party = F.when(F.col("place_") == F.col("first"), "Employer").when(F.col("place_") == F.col("second"), "Employee").otherwise("Other")
+    return out.withColumn(name, party).drop("place_", "first", "second")
 
 
 def _group_key() -> Column:

@@ -90,33 +90,47 @@ def coverage(totals: DataFrame) -> DataFrame:
     return totals.withColumn("Has_Data", F.when(some, "Yes").otherwise("No")).select("SourceFile", "Section_Code", "Section_Label", "Has_Data", "Found", "Num_Records", *R.HEADS)
 
 
-def gstr1_checks(totals: DataFrame, key: str = "SourceFile", tol: N.Tolerances = N.DEFAULT) -> DataFrame:
-    """Exceptions (key, Check, Computed, Reported, Variance, Status) of the six rules, from one pass over the sections."""
-    value = lambda codes, c: F.sum(F.when(F.col("Section_Code").isin(codes), N.numeric_or_zero(F.col(c))).otherwise(0.0))
-    needed = {f"liability_{c}": value(R.LIABILITY, c) for c in R.HEADS} | {f"stated_{c}": value(["TOTAL_LIABILITY"], c) for c in R.HEADS}
-    needed |= {"hsn": value(["12_HSN"], "Value"), "supply": value(R.SUPPLY, "Value"), "notes": value(["9B_CDNR", "9C_CDNUR"], "Value")}
-    for s in {*R.COUNTED, *R.INTERSTATE}:
-        needed |= {f"n_{s}": value([s], "Num_Records"), f"v_{s}": value([s], "Value"), f"tax_{s}": value([s], "CGST") + value([s], "SGST"), f"cgst_{s}": value([s], "CGST"), f"sgst_{s}": value([s], "SGST")}
-    g = totals.groupBy(key).agg(*[e.alias(n) for n, e in needed.items()])
+def gstr1_checks(totals: DataFrame, key: str = "SourceFile", tol: N.Tolerances = N.DEFAULT, enabled: frozenset[str] | None = None) -> DataFrame:
+    """Exceptions (key, Check, Computed, Reported, Variance, Status) of the six rules, from one pass over the sections.
+
+    enabled names the rules that are on (all, if it is null). What only the others need isn't summed, or even read."""
+    on = lambda rule: enabled is None or rule in enabled
+    needed: dict[str, Column] = {}
+
+    def value(codes: list[str], c: str) -> Column:
+        """A sum over the rows of these sections, as a column of the one aggregate."""
+        name = f"{c}_{'_'.join(codes)}"
+        needed[name] = F.sum(F.when(F.col("Section_Code").isin(codes), N.numeric_or_zero(F.col(c))).otherwise(0.0)).alias(name)
+        return F.col(name)
 
     def finding(check: str, bad: Column, computed: Column, reported: Column, variance: Column, status: str) -> Column:
         return F.when(bad, F.struct(F.lit(check).alias("Check"), F.round(computed.cast("double"), 2).alias("Computed"), F.round(reported.cast("double"), 2).alias("Reported"), F.round(variance.cast("double"), 2).alias("Variance"), F.lit(status).alias("Status")))
 
-    c, zero = F.col, F.lit(0.0)
-    rules = []
-    for h in R.HEADS:
-        gap = F.round(c(f"liability_{h}") - c(f"stated_{h}"), 2)
-        rules.append(finding(f"Total_Liability_{h}", F.abs(gap) > tol.gst, c(f"liability_{h}"), c(f"stated_{h}"), gap, "FAIL"))
-    share = F.abs(F.try_divide(c("hsn") - c("supply"), c("supply"))) * 100
-    rules.append(finding("HSN_vs_Supply_Tables", (c("supply") != 0) & (share > tol.hsn_percent), c("supply"), c("hsn"), c("hsn") - c("supply"), "WARN"))
-    for s in R.COUNTED:
-        n, v = c(f"n_{s}"), c(f"v_{s}")
+    zero, rules = F.lit(0.0), []
+    for h in R.HEADS if on("Total_Liability") else []:
+        made, stated = value(R.LIABILITY, h), value(["TOTAL_LIABILITY"], h)
+        gap = F.round(made - stated, 2)
+        rules.append(finding(f"Total_Liability_{h}", F.abs(gap) > tol.gst, made, stated, gap, "FAIL"))
+    if on("HSN_vs_Supply_Tables"):
+        supply, hsn = value(R.SUPPLY, "Value"), value(["12_HSN"], "Value")
+        share = F.abs(F.try_divide(hsn - supply, supply)) * 100
+        rules.append(finding("HSN_vs_Supply_Tables", (supply != 0) & (share > tol.hsn_percent), supply, hsn, hsn - supply, "WARN"))
+    for s in R.COUNTED if on("Record_Count") else []:
+        n, v = value([s], "Num_Records"), value([s], "Value")
         rules.append(finding(f"Record_Count_{s}", ((n == 0) & (v != 0)) | ((n > 0) & (v == 0)), n, v, zero, "WARN"))
-    mean = F.try_divide(c("v_5"), c("n_5"))
-    rules.append(finding("B2CL_Threshold", (c("n_5") > 0) & (mean <= tol.b2cl_average), mean, F.lit(tol.b2cl_average), zero, "FAIL"))
-    for s in R.INTERSTATE:
-        rules.append(finding(f"Interstate_Tax_{s}", (c(f"cgst_{s}") > 0) | (c(f"sgst_{s}") > 0), c(f"tax_{s}"), zero, c(f"tax_{s}"), "FAIL"))
-    rules.append(finding("CDNR_Sign_Check", c("notes") > 0, c("notes"), zero, c("notes"), "WARN"))
+    if on("B2CL_Threshold"):
+        n, v = value(["5"], "Num_Records"), value(["5"], "Value")
+        mean = F.try_divide(v, n)
+        rules.append(finding("B2CL_Threshold", (n > 0) & (mean <= tol.b2cl_average), mean, F.lit(tol.b2cl_average), zero, "FAIL"))
+    for s in R.INTERSTATE if on("Interstate_Tax") else []:
+        central, state = value([s], "CGST"), value([s], "SGST")
+        rules.append(finding(f"Interstate_Tax_{s}", (central > 0) | (state > 0), central + state, zero, central + state, "FAIL"))
+    if on("CDNR_Sign_Check"):
+        notes = value(["9B_CDNR", "9C_CDNUR"], "Value")
+        rules.append(finding("CDNR_Sign_Check", notes > 0, notes, zero, notes, "WARN"))
+    if not rules:
+        return totals.where("false").select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("Check", "string"), ("Computed", "double"), ("Reported", "double"), ("Variance", "double"), ("Status", "string"))])
+    g = totals.groupBy(key).agg(*needed.values())
     return g.select(key, F.explode(F.array_compact(F.array(*rules))).alias("f")).select(key, "f.*")
 
 
@@ -252,8 +266,9 @@ def analysis(meta: DataFrame, supplies: DataFrame, credit: DataFrame, paid: Data
     return out.select(*[c(f"`{f}`") for f in R.ANALYSIS])
 
 
-def gstr3b_checks(supplies: DataFrame, credit: DataFrame, paid: DataFrame, tol: N.Tolerances = N.DEFAULT) -> DataFrame:
-    """Exceptions (source_file, Check, Sanity_Status, Variance) of payment, credit and reverse-charge rules."""
+def gstr3b_checks(supplies: DataFrame, credit: DataFrame, paid: DataFrame, tol: N.Tolerances = N.DEFAULT, enabled: frozenset[str] | None = None) -> DataFrame:
+    """Exceptions (source_file, Check, Sanity_Status, Variance) of payment, credit and reverse-charge rules, as far as they are
+    enabled (all, if that is null)."""
     c = F.col
     zero = lambda x: F.coalesce(c(x), F.lit(0.0))
     total = reduce(lambda a, b: a + b, [zero(x) for x in ("ITC_Integrated", "ITC_Central", "ITC_State_UT", "ITC_Cess", "Tax_paid_cash")])
@@ -269,7 +284,8 @@ def gstr3b_checks(supplies: DataFrame, credit: DataFrame, paid: DataFrame, tol:
     claimed = credit.groupBy("source_file").agg(F.sum(F.when(c("Details").rlike(r"\(3\)"), c("`Integrated tax`") + c("`Central tax`") + c("`State/UT tax`")).otherwise(0.0)).alias("claimed"))
     third = rcm.join(claimed, "source_file").where((c("rcm") > 0) & (F.abs(c("rcm") - c("claimed")) / c("rcm") * 100 > tol.rcm_percent))
     third = third.select("source_file", F.lit("RCM_CrossCheck").alias("Check"), F.lit("WARN").alias("Sanity_Status"), F.round(c("rcm") - c("claimed"), 2).alias("Variance"))
-    return first.unionByName(second).unionByName(third)
+    parts = [df for rule, df in (("Payment_Recon_6_1", first), ("ITC_Math", second), ("RCM_CrossCheck", third)) if enabled is None or rule in enabled]
+    return reduce(DataFrame.unionByName, parts) if parts else first.where("false")
 
 
 def gstr3b(pages: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,28 +14,11 @@ from quillbook.operators import geometry as G
 from quillbook.operators import ledger as L
 from quillbook.parsers import gst
 from quillbook.plans import cases, facts
+from quillbook.plans.registered import ORACLES, QUERIES, query, read
 from quillbook.rules import banks, forms
 from quillbook.rules import gst as RG
 from quillbook.sources import layout
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as ledger rows: the priority's first digit is the form, the status letter the status."""
     o = read(spark, sf_dir, "orders")
@@ -124,7 +105,25 @@ r as (select *, row_number() over (partition by l_orderkey order by amount desc)
 select l_orderkey, amount, copies, case n when 1 then 'Employer' when 2 then 'Employee' else 'Other' end as party from r""")
 def party_rank(spark, sf_dir):
     a = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_extendedprice").alias("amount")).agg(F.count("*").alias("copies"))
-    return L.party_rank(a, ["l_orderkey"], [F.desc("amount")], "party")
+    return L.party_rank(a, ["l_orderkey"], "amount", [], "party")
+
+
+@query("""
+with r as (select l_orderkey, l_linenumber, l_returnflag, row_number() over (partition by l_returnflag order by l_extendedprice desc nulls last, l_orderkey, l_linenumber) as n from lineitem)
+select l_orderkey, l_linenumber, l_returnflag, case n when 1 then 'Employer' when 2 then 'Employee' else 'Other' end as party from r""")
+def party_rank_few_groups(spark, sf_dir):
+    """Three groups hold all line items."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    return L.party_rank(li, ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], "party").drop("l_extendedprice")
+
+
+@query("""
+with r as (select s_suppkey, row_number() over (order by s_acctbal desc nulls last, s_suppkey) as n from supplier)
+select s_suppkey, case n when 1 then 'Employer' when 2 then 'Employee' else 'Other' end as party from r""")
+def party_rank_one_group(spark, sf_dir):
+    """One group holds all suppliers; its key is null."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", F.lit(None).cast("string").alias("FY"))
+    return L.party_rank(s, ["FY"], "s_acctbal", ["s_suppkey"], "party").select("s_suppkey", "party")
 
 
 def recon_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,5 +491,7 @@ def line_cluster(spark, sf_dir):
     return G.cluster_lines(words, ["source_file", "page_no"]).select("source_file", "page_no", "line_no", "top", "text")
 
 
+from quillbook.plans import runs  # noqa: E402, F401  registers its queries, which use those above
+
 QUERIES |= cases.QUERIES
 ORACLES |= cases.ORACLES

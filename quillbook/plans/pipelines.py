@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from quillbook.parsers import bill, forms, gst
 from quillbook.rules import banks
 from quillbook.rules.forms import LEDGER_AUDIT, LEDGER_CORE
 from quillbook.sources import layout
+from quillbook.sources.store import Store, publish_run
 
 #: Why a document is rejected, what is said of it, what to do; in the order in which it is tried.
 STATUTORY_GATES = {
@@ -64,30 +67,39 @@ def classified(pages: DataFrame, sidecars: DataFrame | None = None) -> DataFrame
     })
 
 
-def statutory(pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of a statutory batch: the ledger and what is made of it, a detail table a form, errors."""
-    docs = classified(pages, sidecars).persist()  # read by every parser
+def _as_it_is(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    return df
+
+
+def statutory(pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: DataFrame | None = None, keep: Callable[..., DataFrame] = _as_it_is) -> dict[str, DataFrame]:
+    """All tables of a statutory batch: the ledger and what is made of it, a detail table a form, errors.
+
+    keep(frame, name, by) is asked about everything that several tables are made of: classified documents, each form's rows,
+    and the ledger, by form and year. As it is, plans work these out anew for each table; `published` writes them once.
+    """
+    docs = keep(classified(pages, sidecars), "documents")
     good = docs.where("reject_reason is null")
     sheets: dict[str, DataFrame] = {}
     rows: list[DataFrame] = []
     details: dict[str, list[DataFrame]] = {}
     for (form, kind), parser in forms.PARSERS.items():
         mine = good.where((F.col("form.return_type") == form) & (F.col("form.doc_kind") == kind))
-        got = flags.flagged(parser(mine.select("source_file", "text")), form, kind)
+        got = keep(flags.flagged(parser(mine.select("source_file", "text")), form, kind), f"{form}_{kind}")
         details.setdefault(form, []).append(got)
         rows.append(L.consolidated(got))
     of = lambda form: good.where(F.col("form.return_type") == form).select("source_file")
     only = lambda rel, form: rel.join(of(form), "source_file", "left_semi")
     rows.append(L.consolidated(gst.gstr1(only(pages, "GSTR1"), only(cells, "GSTR1"))))
     three_b, analysis = gst.gstr3b(only(pages, "GSTR3B"), only(cells, "GSTR3B"))
+    analysis = keep(analysis, "analysis")
     rows.append(L.consolidated(three_b))
-    bills = bill.parse(only(words, "SB"))
+    bills = keep(bill.parse(only(words, "SB")), "bills")
     rows.append(L.consolidated(bill.ledger(bills)))
-    ledger = L.union_all(rows)
+    ledger = keep(L.union_all(rows), "rows")
     recon = L.reconcile(ledger)
     ledger = L.flag_back(ledger, recon)
     context = good.select(F.col("source_file").alias("SourceFile"), "form", "sparse_text", "ocr_used")
-    audited = L.audited(ledger.join(context, "SourceFile", "left"))
+    audited = keep(L.audited(ledger.join(context, "SourceFile", "left")), "ledger", ["ReturnType", "FY"])
     final = audited.select(*LEDGER_CORE, *LEDGER_AUDIT)
     findings, evidence = L.finding_rows(audited), L.evidence_rows(audited)
     sheets["Consolidated"] = L.ordered(final)
@@ -103,13 +115,19 @@ def statutory(pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: Da
     return sheets
 
 
+def published(store: Store, pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: DataFrame | None = None) -> int:
+    """Writes a statutory batch as one run of the store: the ledger once, by form and year, and every table from it. Readers
+    see all tables of the run, or all of the run before."""
+    return publish_run(store, lambda keep: statutory(pages, cells, words, sidecars, keep))
+
+
 def bank(pages: DataFrame, cells: DataFrame, sidecars: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a batch of bank documents."""
     docs = C.with_banks(layout.documents(pages, sidecars))
     other = (F.col("unsupported.score") > 0) & ~F.col("accepted")
     docs = gated(docs, BANK_GATES, _unread() | {"NeedsOCR": F.col("needs_ocr"), "MixedDocument": F.col("mixed"), "UnsupportedDocument": other, "UnknownBankLayout": ~F.col("bank.clear")})
     of = lambda attr: F.element_at(F.create_map(*[F.lit(x) for b in banks.BANKS for x in (b.code, getattr(b, attr))]), F.col("bank.code"))
-    docs = docs.withColumns({"debt": F.when(F.col("bank").isNotNull(), of("debt")), "layout": of("layout")}).persist()
+    docs = docs.withColumns({"debt": F.when(F.col("bank").isNotNull(), of("debt")), "layout": of("layout")})
     good = docs.where("reject_reason is null")
     statements = good.where("layout <> 'deposits'")
     only = lambda kind: cells.join(good.where(F.col("layout") == kind).select("source_file"), "source_file", "left_semi")

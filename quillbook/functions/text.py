@@ -74,10 +74,13 @@ def line_below(c: Column, label: str) -> Column:
     return blank_to_null(squeeze(F.regexp_extract(c, FLAGS + r"(?m)" + printed(label) + r"[^\n]*\n([^\n]*)", 1)))
 
 
-def without_printed(c: Column, words: list[str]) -> Column:
-    """The words of c that aren't the form's own, and have a letter."""
-    own = [w.upper() for w in words]
-    return F.array_join(F.filter(F.split(squeeze(c), " "), lambda w: w.rlike("[A-Za-z]") & ~F.upper(F.regexp_replace(w, r"[():]", "")).isin(own)), " ")
+def without_printed(c: Column, phrases: list[str]) -> Column:
+    """c without these phrases, wherever they stand whole, in either case; a bracket of a phrase may be missing."""
+    def pattern(phrase: str) -> str:
+        words = [rf"\Q{w}\E" for w in phrase.strip("() ").split()]
+        return (r"\(?\s*" if phrase.startswith("(") else "") + r"\b" + r"\s+".join(words) + r"\b" + (r"\s*\)?" if phrase.endswith(")") else "")
+
+    return F.regexp_replace(c, "(?i)" + "|".join(map(pattern, phrases)), " ")
 
 
 def key_value(c: Column, key: str) -> Column:

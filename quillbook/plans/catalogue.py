@@ -491,7 +491,7 @@ def line_cluster(spark, sf_dir):
     return G.cluster_lines(words, ["source_file", "page_no"]).select("source_file", "page_no", "line_no", "top", "text")
 
 
-from quillbook.plans import runs  # noqa: E402, F401  registers its queries, which use those above
+from quillbook.plans import laid_out, runs  # noqa: E402, F401  they register their queries
 
 QUERIES |= cases.QUERIES
 ORACLES |= cases.ORACLES

@@ -121,17 +121,18 @@ def published(store: Store, pages: DataFrame, cells: DataFrame, words: DataFrame
     return publish_run(store, lambda keep: statutory(pages, cells, words, sidecars, keep))
 
 
-def bank(pages: DataFrame, cells: DataFrame, sidecars: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of a batch of bank documents."""
+def bank(pages: DataFrame, cells: DataFrame, sidecars: DataFrame | None = None, keep: Callable[..., DataFrame] = _as_it_is) -> dict[str, DataFrame]:
+    """All tables of a batch of bank documents. keep is asked about what several of them are made of, as in `statutory`."""
     docs = C.with_banks(layout.documents(pages, sidecars))
     other = (F.col("unsupported.score") > 0) & ~F.col("accepted")
     docs = gated(docs, BANK_GATES, _unread() | {"NeedsOCR": F.col("needs_ocr"), "MixedDocument": F.col("mixed"), "UnsupportedDocument": other, "UnknownBankLayout": ~F.col("bank.clear")})
     of = lambda attr: F.element_at(F.create_map(*[F.lit(x) for b in banks.BANKS for x in (b.code, getattr(b, attr))]), F.col("bank.code"))
     docs = docs.withColumns({"debt": F.when(F.col("bank").isNotNull(), of("debt")), "layout": of("layout")})
+    docs, cells = keep(docs, "documents"), keep(cells, "cells")
     good = docs.where("reject_reason is null")
     statements = good.where("layout <> 'deposits'")
     only = lambda kind: cells.join(good.where(F.col("layout") == kind).select("source_file"), "source_file", "left_semi")
-    rows = B.transactions(only("table"), good).unionByName(B.key_value_transactions(good.where("layout = 'key_value'").select("source_file", "text")))
+    rows = keep(B.transactions(only("table"), good).unionByName(B.key_value_transactions(good.where("layout = 'key_value'").select("source_file", "text"))), "rows")
     meta = B.infer_balances(B.metadata(statements), rows, ["source_file"], B.ORDER)
     recon = B.reconciled(rows, meta, ["source_file"], B.ORDER)
     summary = B.bank_ledger(meta, recon, good)

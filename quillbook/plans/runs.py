@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +14,7 @@ from quillbook.plans.registered import ORACLES, query, read
 from quillbook.plans.registry import Handler, Registry
 from quillbook.sources import layout
 from quillbook.sources.cache import KEYS, TABLE, read_through
-from quillbook.sources.store import Store, publish_run, shared_dir
-
-
-def new_store(spark: SparkSession, name: str) -> Store:
-    return Store(spark, f"{shared_dir(spark)}/stores/{name}-{uuid.uuid4().hex}")
+from quillbook.sources.store import new_store, publish_run, staged
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,15 +120,8 @@ def handlers_at_run_time(spark, sf_dir):
     """Documents by handlers that were added at run time; one of them can't be planned and another fails as it runs."""
     registry = Registry([_returns(), _broken(), _unplannable()])
     registry.register(_memo())
-    store = new_store(spark, "handlers")
-    folder = store.stage()
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
     docs = Q.planted(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_file"), "text")
-    rows, errors = registry.materialised(docs, keep)
+    rows, errors = registry.materialised(docs, staged(spark, "handlers"))
     rows = rows.select(F.col("SourceFile").cast("long").alias("doc_id"), "ReturnType", "PrimaryAmount", "Flags")
     handler = F.when(F.col("Error_Type") == "ParserError", F.when(F.col("Message").contains("no amount in"), "PF").otherwise("EWB"))
     errors = errors.select(F.col("File").cast("long").alias("doc_id"), handler.alias("ReturnType"), "Error_Type")

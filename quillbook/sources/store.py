@@ -113,23 +113,37 @@ class Store:
                 fs.delete(f.getPath(), True)
 
 
-def publish_run(store: Store, build: Callable[[Callable[[DataFrame, str], DataFrame]], dict[str, DataFrame]]) -> int:
-    """Writes all tables that build gives and publishes them as one run; the number of its entry.
+def new_store(spark: SparkSession, name: str) -> Store:
+    """A store of its own in the shared folder."""
+    return Store(spark, f"{shared_dir(spark)}/stores/{name}-{uuid.uuid4().hex}")
 
-    build gets a function that writes a frame to the run's folder and reads it back, for what many tables are made of. If
-    anything fails, nothing is published, and readers stay with the run before.
-    """
-    folder, seen = store.stage(), store.last()
 
+def staged(spark: SparkSession, name: str) -> Callable[..., DataFrame]:
+    """A function that writes a frame to a folder of its own store and reads it back, for plans that many tables share. The
+    folder stays."""
+    return _keeper(spark, new_store(spark, name).stage())
+
+
+def _keeper(spark: SparkSession, folder: str) -> Callable[..., DataFrame]:
     def keep(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
         path = f"{folder}/kept/{name}"
         # folders are named by copies of the columns: as names, an empty string and null would be one
         out = df.withColumns({f"by_{c}": F.col(c) for c in by or []})
         (out.write.partitionBy(*[f"by_{c}" for c in by]) if by else out.write).parquet(path)
-        return store.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+        return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    return keep
 
+
+def publish_run(store: Store, build: Callable[[Callable[..., DataFrame]], dict[str, DataFrame]]) -> int:
+    """Writes all tables that build gives and publishes them as one run; the number of its entry.
+
+    build gets a function that writes a frame to the run's folder and reads it back, for what many tables are made of. If
+    anything fails, nothing is published, and readers stay with the run before.
+    """
+    folder, seen = store.stage(), store.last()
     tables = {}
-    for name, df in build(keep).items():
+    for name, df in build(_keeper(store.spark, folder)).items():
         path = f"{folder}/{name}"
         df.write.parquet(path)
         tables[name] = {"all": path}

@@ -521,3 +521,92 @@ def deposit_statements(spark, sf_dir):
     got = B.deposits(rows.unionByName(head))
     more = got.groupBy("source_file").agg(F.min("DepositDate").cast("string").alias("first_deposit"), F.round(F.max("InterestRate"), 2).alias("best_rate"))
     return B.deposit_totals(got).join(more, "source_file").select(F.col("source_file").cast("long").alias("c"), "n", F.round("PrimaryAmount", 2).alias("PrimaryAmount"), F.col("PeriodTo").cast("string").alias("period"), "first_deposit", "best_rate")
+
+
+# shipping bills -------------------------------------------------------------------------------------------------------
+
+
+def bill_lines(spark, sf_dir) -> DataFrame:
+    """(c, page, seq, text): the lines of a bill for each customer with orders. Its items are the orders, in turn on one of two
+    invoices. A fifth states too much for the first invoice, a seventh too much in all."""
+    o = orders(spark, sf_dir).withColumn("n", F.row_number().over(Q.Window.partitionBy("c").orderBy("k")))
+    o = o.withColumn("inv", F.when(F.col("n") % 2 == 1, 1).otherwise(2))
+    c = o.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("n", "k", "inv", "cents"))).alias("items"))
+    value = lambda i: F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.when(x["inv"] == i, x["cents"]).otherwise(0))
+    c = c.withColumns({"v1": value(1), "v2": value(2)})
+    c = c.withColumns({"n_items": F.size("items"), "n_inv": F.least(F.size("items"), F.lit(2)), "fob": F.col("v1") + F.col("v2") + F.when(F.col("c") % 7 == 0, 10_000).otherwise(0), "v1": F.when(F.col("c") % 5 == 0, F.floor(F.col("v1") * 101 / 100)).otherwise(F.col("v1"))})
+    key = F.col("c").cast("string")
+    hs = lambda x: (84_000_000 + x["k"] % 100_000).cast("string")
+    rupees = lambda cents: money(cents / 100)
+    quantity = lambda x: (x["k"] % 9 + 1).cast("string")
+    line = lambda *parts: F.concat_ws(" ", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    one = F.array(
+        F.lit("PART - I - x"), line("INDIAN CUSTOMS EDI SYSTEM INBOM1", (1_000_000 + F.col("c")).cast("string"), "05-MAY-25"), line("IEC/Br", F.lpad(key, 10, "0"), "1"), line("GSTIN/TYPE", F.concat(F.lit("27ABCDE"), F.lpad((F.col("c") % 10000).cast("string"), 4, "0"), F.lit("F1Z5")), "GSN"),
+        line("Nos", F.col("n_inv").cast("string"), F.col("n_items").cast("string"), "1"), F.lit("12.PORT OF LOADING INBOM1 (Mumbai) 13.COUNTRY OF FINAL DESTINATION GERMANY"), F.lit("-"), F.lit("-"), F.lit("1.FOB@40 VALUE@65 2.FREIGHT@190 3.INSURANCE@290"), line(F.concat(rupees(F.col("fob")), F.lit("@42")), "20@195", ".81@295"),
+    )
+
+    def two(i: int) -> Column:
+        of = F.filter("items", lambda x: x["inv"] == i)
+        rows = F.flatten(F.transform(of, lambda x: F.array(line(x["n"].cast("string"), hs(x), "pumps of 2 sizes", quantity(x), "NOS 2.5", rupees(x["cents"])), F.when(x["k"] % 3 == 0, "and more"))))
+        total = rupees(F.col(f"v{i}"))
+        head = F.array(F.lit("PART - II - x"), F.lit("1.S.No 2.INVOICE"), line(str(i), F.concat(F.lit("INV/"), key, F.lit(f"-{i}")), "01/05/2025 FOB"), F.lit("1.INVOICE VALUE 2.FOB VALUE"), line(total, total, "0 0 1 USD INR 80.0"), F.lit("1.ItemSNo 2.HS CD"))
+        return F.when(F.size(of) > 0, F.concat(head, F.array_compact(rows), F.array(F.lit("Glossary x"))))
+
+    three = F.concat(F.array(F.lit("PART - III - x")), F.flatten(F.transform("items", lambda x: F.array(F.lit("1INVSN 2ITEMSN"), line(x["inv"].cast("string"), x["n"].cast("string"), hs(x), "pumps", quantity(x), "NOS 2.5", rupees(x["cents"]), rupees(x["cents"]), "90"), F.lit("of steel"), F.lit("11.DUTYAMT"), F.lit("0 Y LUT 60")))))
+    four = F.concat(F.array(F.lit("PART - IV - x"), F.lit("M. RODTEP DETAILS"), F.lit("1 1 5 NOS 5 10.25"), F.lit("I. CONTAINER DETAILS"), line("1", F.concat(F.lit("ABCD"), F.lpad((F.col("c") % 10_000_000).cast("string"), 7, "0")), "S1 05-MAY-25"), F.lit("H. INVOICE DETAILS")), F.transform(F.sequence(F.lit(1), F.col("n_inv")), lambda i: line(i.cast("string"), F.concat(F.lit("INV/"), key, F.lit("-"), i.cast("string")), "12.5 USD")))
+    pages = F.array(one, two(1), two(2), three, four)
+    out = c.select("c", F.posexplode(pages).alias("page", "lines")).where("lines is not null")
+    return out.select("c", (F.col("page") + 1).alias("page"), F.posexplode("lines").alias("seq", "text"))
+
+
+def bill_words(spark, sf_dir) -> DataFrame:
+    """The words of the lines, each where it stands, or where it says (@x). Of a sixth of the bills a word of part three has no
+    place, of a nineteenth one of every page."""
+    lines = bill_lines(spark, sf_dir).withColumn("w", F.split("text", " "))
+    at = F.transform("w", lambda t, i: F.struct(F.split_part(t, F.lit("@"), F.lit(1)).alias("text"), F.coalesce(F.nullif(F.split_part(t, F.lit("@"), F.lit(2)), F.lit("")).cast("double"), 40.0 + 5 * F.char_length(F.concat_ws(" ", F.slice("w", F.lit(1), i), F.lit("")))).alias("x0")))
+    words = lines.select("c", "page", "seq", F.posexplode(at).alias("i", "v"))
+    lost = (F.col("seq") == 1) & (F.col("i") == 0) & ((F.col("c") % 19 == 0) | ((F.col("c") % 6 == 0) & (F.col("page") == 4)))
+    top = F.col("seq") * 10.0 + 10
+    return words.select(F.col("c").cast("string").alias("source_file"), F.col("page").alias("page_no"), "v.text", F.when(~lost, F.col("v.x0")).alias("x0"), (F.col("v.x0") + 5 * F.char_length("v.text")).alias("x1"), top.alias("top"), (top + 8).alias("bottom"), F.lit(True).alias("upright"))
+
+
+_BILLS = f"""{_ORDERS},
+i as (select *, row_number() over (partition by c order by k) as n from o),
+j as (select *, case when n % 2 = 1 then 1 else 2 end as inv from i),
+b as (select c, count(*) as items, least(2, count(*)) as invoices, sum(cents) as total, sum(cents) filter (inv = 1) as v1, sum(cents) filter (inv = 2) as v2, c % 19 = 0 as gone, c % 6 = 0 as broken from j group by 1)"""
+
+
+@query(f"""with {_BILLS}
+select c, gone as unreadable, case when not gone then (1000000 + c)::varchar end as "SB_No", case when not gone then '27ABCDE' || lpad((c % 10000)::varchar, 4, '0') || 'F1Z5' end as "GSTIN", case when gone then 0 else invoices end::int as invoices, case when gone or broken then 0 else items end::int as items,
+  case when not gone then (total + case when c % 7 = 0 then 10000 else 0 end) / 100.0 end::double as fob, case when gone then 0 else 3 + invoices + case when broken then 0 else 2 end end::int as evaluated,
+  case when not gone then concat_ws('; ', case when not broken and c % 7 = 0 then 'fob_total_vs_item_sum' end, case when c % 5 = 0 then 'invoice_1_value_vs_items' end, 'FIELDS?') end as "Flags",
+  case when not gone then concat_ws('; ', case when broken then 'page 4: 1 words have no place' end, 'missing core fields: exporter, consignee') end as warnings from b""")
+def shipping_bills(spark, sf_dir):
+    """Bills of all customers with orders, some with pages that can't be read: these cost a page, and the checks that need it."""
+    words = bill_words(spark, sf_dir)
+    bills = bill.parse(words)
+    rows = bill.flat_rows(bills).join(bill.ledger(bills).select(F.col("SourceFile").alias("source_file"), "Flags"), "source_file")
+    rows = rows.select(F.col("source_file").cast("long").alias("c"), F.lit(False).alias("unreadable"), "SB_No", "GSTIN", F.col("Invoices").alias("invoices"), F.col("Items").alias("items"), F.col("FOB_INR").alias("fob"), F.col("Checks_Run").alias("evaluated"), "Flags", F.col("Warnings").alias("warnings"))
+    lost = bill.unreadable(words).select(F.col("source_file").cast("long").alias("c"), F.lit(True).alias("unreadable"))
+    return L.union_all([rows, lost]).na.fill(0, ["invoices", "items", "evaluated"])
+
+
+@query(f"""with {_BILLS}
+select j.c, n::int as "Item_SNo", 'INV/' || j.c::varchar || '-' || inv::varchar as "Invoice_No", (84000000 + k % 100000)::varchar as "HS_Code", 'pumps of steel' as "Description", (k % 9 + 1)::double as "Quantity", cents / 100.0::double as "Value_FC", cents / 100.0::double as "FOB_INR", 'USD' as "Currency", 'LUT' as "IGST_Status"
+from j join b on b.c = j.c where not gone and not broken""")
+def shipping_bill_items(spark, sf_dir):
+    """The items of part three of all bills, with their invoices."""
+    got = bill.item_rows(bill.parse(bill_words(spark, sf_dir)))
+    return got.select(F.col("SourceFile").cast("long").alias("c"), "Item_SNo", "Invoice_No", "HS_Code", "Description", "Quantity", "Value_FC", "FOB_INR", "Currency", "IGST_Status")
+
+
+@query(f"""with {_BILLS}
+select j.c, inv as invoice_sno, n::int as sno, (84000000 + k % 100000)::varchar as hs_code, 'pumps of 2 sizes' || case when k % 3 = 0 then ' and more' else '' end as description, (k % 9 + 1)::double as quantity, cents / 100.0::double as value_fc,
+  case inv when 1 then case when j.c % 5 = 0 then v1 * 101 // 100 else v1 end else v2 end / 100.0::double as invoice_value
+from j join b on b.c = j.c where not gone""")
+def shipping_bill_invoices(spark, sf_dir):
+    """The items of part two of all bills, with descriptions that go on below, and the value of their invoices."""
+    bills = bill.parse(bill_words(spark, sf_dir))
+    items = bills.select("source_file", F.explode("items_two").alias("i")).select("source_file", "i.*")
+    inv = bills.select("source_file", F.explode("invoices").alias("v")).select("source_file", F.col("v.sno").alias("invoice_sno"), F.col("v.invoice_value").alias("invoice_value"))
+    return items.join(inv, ["source_file", "invoice_sno"]).select(F.col("source_file").cast("long").alias("c"), "invoice_sno", "sno", "hs_code", "description", "quantity", "value_fc", "invoice_value")

@@ -93,7 +93,9 @@ def statutory(pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: Da
     three_b, analysis = gst.gstr3b(only(pages, "GSTR3B"), only(cells, "GSTR3B"))
     analysis = keep(analysis, "analysis")
     rows.append(L.consolidated(three_b))
-    bills = keep(bill.parse(only(words, "SB")), "bills")
+    bill_words = only(words, "SB")
+    bills = keep(bill.parse(bill_words), "bills")
+    lost = bill.unreadable(bill_words).withColumn("reject_reason", F.lit("ParserError"))
     rows.append(L.consolidated(bill.ledger(bills)))
     ledger = keep(L.union_all(rows), "rows")
     recon = L.reconcile(ledger)
@@ -111,7 +113,7 @@ def statutory(pages: DataFrame, cells: DataFrame, words: DataFrame, sidecars: Da
     for form, parts in details.items():
         sheets[form] = L.lead_columns(L.union_all(parts), ["SourceFile", "ReturnType", "DocKind"])
     sheets["SB"], sheets["SB_Items"], sheets["SB_Invoices"] = bill.flat_rows(bills), bill.item_rows(bills), bill.invoice_rows(bills)
-    sheets["Parsing_Errors"] = errors(docs, STATUTORY_GATES)
+    sheets["Parsing_Errors"] = errors(docs, STATUTORY_GATES).unionByName(errors(lost, STATUTORY_GATES))
     return sheets
 
 

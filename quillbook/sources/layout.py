@@ -43,11 +43,16 @@ def ocr_pages(value: Column) -> Column:
 
 
 def documents(pages: DataFrame, sidecars: DataFrame | None = None) -> DataFrame:
-    """One row a document: pages, text, needs_ocr, sparse_text, ocr_used, error. Scanned pages are replaced by OCR where there
-    is any. A first page of under 20 characters means a scan; under 80 characters a page on average is sparse. `error` is
-    what the reader said of a file that it couldn't read, if pages tells."""
-    error = F.max("error") if "error" in pages.columns else F.lit(None).cast("string")
-    got = pages.groupBy("source_file").agg(error.alias("error"), F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce(F.trim("text"), F.lit("")).alias("t")))), lambda x: x["t"]).alias("native"))
+    """One row a document: pages, text, needs_ocr, sparse_text, ocr_used, error, warnings. Scanned pages are replaced by OCR where
+    there is any. A first page of under 20 characters means a scan; under 80 characters a page on average is sparse. If pages
+    tells errors, `error` is what the reader said of a file that it couldn't read, or of which it could read no page, and
+    `warnings` are what it said of single pages, in page order; these are empty texts."""
+    said = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+    whole, single = said.isNotNull() & F.col("page_no").isNull(), said.isNotNull() & F.col("page_no").isNotNull()
+    error = F.when(F.max(whole) | (F.count_if(said.isNull()) == 0), F.coalesce(F.max(F.when(whole, said)), F.max(said)))
+    each = F.when(single, F.struct("page_no", F.concat(F.lit("page "), F.col("page_no").cast("string"), F.lit(": "), said).alias("w")))
+    warnings = F.transform(F.array_sort(F.collect_list(each)), lambda x: x["w"])
+    got = pages.groupBy("source_file").agg(error.alias("error"), warnings.alias("warnings"), F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce(F.trim("text"), F.lit("")).alias("t")))), lambda x: x["t"]).alias("native"))
     got = got.join(sidecars, "source_file", "left") if sidecars is not None else got.withColumn("ocr_pages", F.lit(None).cast("array<string>"))
     got = preflight(got, "native")
     use = F.col("needs_ocr") & (F.size(F.coalesce("ocr_pages", F.array())) > 0)

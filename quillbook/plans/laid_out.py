@@ -11,15 +11,19 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillbook.functions import dates as D
+from quillbook.functions import numbers as N
+from quillbook.functions import text as T
 from quillbook.operators import bank as B
 from quillbook.operators import flags
 from quillbook.operators import ledger as L
 from quillbook.parsers import bill, forms, gst
 from quillbook.plans import catalogue as Q
-from quillbook.plans import facts, pipelines
+from quillbook.plans import facts, pipelines, sheets
 from quillbook.plans.registered import ORACLES, query, read
 from quillbook.rules import gst as RG
-from quillbook.sources.store import new_store, staged
+from quillbook.sources import layout
+from quillbook.sources.store import new_store, publish_run, staged
 
 
 def printed(template: str, **values: Column) -> Column:
@@ -610,3 +614,96 @@ def shipping_bill_invoices(spark, sf_dir):
     items = bills.select("source_file", F.explode("items_two").alias("i")).select("source_file", "i.*")
     inv = bills.select("source_file", F.explode("invoices").alias("v")).select("source_file", F.col("v.sno").alias("invoice_sno"), F.col("v.invoice_value").alias("invoice_value"))
     return items.join(inv, ["source_file", "invoice_sno"]).select(F.col("source_file").cast("long").alias("c"), "invoice_sno", "sno", "hs_code", "description", "quantity", "value_fc", "invoice_value")
+
+
+# batches, sheets and functions ----------------------------------------------------------------------------------------
+
+#: What else a folder holds, by the rest of the key by 13: a scan, a text of no form, one of two forms, pages of two forms.
+STRAY = {3: "x", 5: "nothing that is known here, at any length", 7: "GSTR-1 and GSTR-3B", 9: None}
+
+
+@query(f"""with {_ORDERS}
+select k, case k % 13 when 3 then 'NeedsOCR' when 5 then 'UnknownType' when 7 then 'AmbiguousType' when 9 then 'MixedDocument' end as "Error_Type", case when k % 13 not in (3, 5, 7, 9) then case k % 4 when 0 then 'TDS' when 1 then 'PF' when 2 then 'EBRC' else 'PTRC' end end as "ReturnType",
+  case when k % 13 not in (3, 5, 7, 9) then case k % 4 when 2 then 'Return' else 'Challan' end end as "DocKind", case when k % 13 not in (3, 5, 7, 9) then case k % 4 when 0 then cents // 100 + 10 when 1 then 2 * (cents // 100) + 10 else cents / 100.0 end end::double as "PrimaryAmount",
+  case when k % 13 not in (3, 5, 7, 9) then {fy("d")} end as "FY" from o""")
+def statutory_batch(spark, sf_dir):
+    """The whole statutory plan over a file for each order, published as one run: four forms, and files that are turned down."""
+    o = orders(spark, sf_dir)
+    k, whole = F.col("k"), F.floor(F.col("cents") / 100)
+    late = F.date_format(F.date_add(F.trunc("d", "MM"), 14), "dd-MMM-yyyy")
+    year = F.year(F.add_months(F.add_months(F.trunc("d", "MM"), -1), -3))
+    tds = printed(TDS, id_label=F.lit("TAN"), id=F.lit("ABCD12345E"), name=k, year=F.lit("2000-01"), head=F.lit("Corporation Tax (0020)"), section=F.lit("94C"), total=F.format_number(whole + 10, 0), tax=F.format_number(whole, 0), surcharge=F.lit(10), interest=F.lit(0), number=k, day=late, cin=k)
+    # the stated year is that of the deposit, so no month is a guess but of deposits in April
+    tds = F.regexp_replace(tds, "Financial Year : 2000-01", F.concat(F.lit("Financial Year : "), D.fiscal_year(F.col("d"))))
+    pf = printed(PF, month=F.upper(F.date_format("d", "MMM yyyy")), id=F.lit("MHBAN0012345"), c=F.col("c"), ee=F.format_number(whole, 0), er=F.format_number(whole, 0), eps=F.lit(0), edli=F.lit(3), admin=F.lit(2), trrn=k, day=F.date_format("d", "dd-MMM-yyyy"))
+    ebrc = printed(EBRC, c=F.col("c"), iec=F.lpad(F.col("c").cast("string"), 10, "0"), gstin=F.lit("27ABCDE1234F1Z5"), k=F.lpad(k.cast("string"), 12, "0"), day=F.date_format("d", "dd-MM-yyyy"), total=money(F.col("cents") / 100), net=money(F.col("cents") / 100), a=F.lit("1.0"), b=F.lit("1.0"), bill=k, bill_day=F.date_format("d", "dd-MM-yyyy"))
+    mtr = printed(MTR, tin=27_000_000_000 + F.col("c"), name=F.col("c"), first=F.date_format(F.trunc("d", "MM"), "dd/MM/yyyy"), last=F.date_format(F.last_day("d"), "dd/MM/yyyy"), tax=money(F.col("cents") / 100), interest=F.lit(0), total=money(F.col("cents") / 100), grn=F.lpad(k.cast("string"), 9, "0"), day=F.date_format("d", "dd/MM/yyyy"))
+    form = F.when(k % 4 == 0, tds).when(k % 4 == 1, pf).when(k % 4 == 2, ebrc).otherwise(mtr)
+    filler = F.lit(" " + "y" * 90)
+    text = F.when(k % 13 == 3, "x").when(k % 13 == 5, F.concat(F.lit(STRAY[5]), filler)).when(k % 13 == 7, F.concat(F.lit(STRAY[7]), filler)).otherwise(F.concat(form, filler))
+    two = F.array(F.concat(F.lit("E-WAY BILL NO 1"), filler), F.concat(F.lit("FORM_IIIB"), filler))
+    pages = o.select(k.cast("string").alias("source_file"), F.posexplode(F.when(k % 13 == 9, two).otherwise(F.array(text))).alias("p", "text")).select("source_file", (F.col("p") + 1).alias("page_no"), "text")
+    store = new_store(spark, "statutory")
+    sheets_of = {}
+
+    def build(keep):
+        sheets_of.update(pipelines.statutory(pages, spark.createDataFrame([], layout.CELLS), spark.createDataFrame([], layout.WORDS), keep=keep))
+        return {n: sheets_of[n] for n in ("Consolidated", "Dashboard", "Reconciliation", "Parsing_Errors")}
+
+    publish_run(store, build)
+    good = store.read("Consolidated", sheets_of["Consolidated"].schema).select(F.col("SourceFile").cast("long").alias("k"), "ReturnType", "DocKind", "PrimaryAmount", "FY")
+    bad = store.read("Parsing_Errors", sheets_of["Parsing_Errors"].schema).select(F.col("File").cast("long").alias("k"), "Error_Type")
+    return L.union_all([good, bad]).select("k", "Error_Type", "ReturnType", "DocKind", "PrimaryAmount", "FY")
+
+
+@query(f"""with {_ORDERS}, p as (select *, cents // 100 as tax, case when k % 6 = 0 then 7 else 0 end as interest, date_trunc('month', d)::date as own from o),
+m as (select *, case when month(d) = 4 or day(d) <= 7 or interest > 0 then (own - interval 1 month)::date else own end as month from p)
+select 'TDS' as "ReturnType", case when k % 9 = 0 then 'Unknown' else 'ABCD' || lpad((c % 100000)::varchar, 5, '0') || 'E' end as "EntityID", {fy("month")} as "FY", month::varchar as period, ((month(month) + 8) % 12 + 1)::int as "MonthIndex", (tax + interest + case when k % 10 = 0 then 5 else 0 end)::double as "PrimaryAmount",
+  {flag_list(("k % 10 = 0", "CROSSCHECK"), ("k % 8 = 0", "SECTION?"))} as "Flags", case when k % 10 = 0 or k % 8 = 0 then 'Review' else 'OK' end as "Status" from m
+union all select 'TDS', 'ERROR', 'Unknown', null, 0, null, 'PARSE ERR; MONTH?; SECTION?; AMT?', 'Error' from nation""")
+def sheet_challans(spark, sf_dir):
+    """Challans of all orders as table cells, read by position relative to their labels, under the frames' contract; a file for
+    each nation couldn't be read."""
+    o = orders(spark, sf_dir)
+    k, tax, interest = F.col("k"), F.floor(F.col("cents") / 100), F.when(F.col("k") % 6 == 0, 7).otherwise(0)
+    row = lambda *c: F.array(*[x if isinstance(x, Column) else F.lit(x).cast("string") for x in c])
+    rows = F.array(
+        F.when(k % 9 != 0, row("TAN :", F.concat(F.lit("ABCD"), F.lpad((F.col("c") % 100000).cast("string"), 5, "0"), F.lit("E")))), row("Name", "Acme Ltd", None, "Financial Year", "x"), F.when(k % 8 != 0, row("Nature of Payment", "194C Contractors")), row("Major Head", "Corporation Tax (0020)"), row("Challan No", k.cast("string")),
+        row("Date of Deposit", F.date_format("d", "dd-MMM-yyyy")), row("Amount (in Rs.)", F.concat(F.lit("Rs "), F.format_number(tax + interest + F.when(k % 10 == 0, 5).otherwise(0), 2))), row("Tax", F.format_number(tax, 0)), row("Surcharge", "0"), row("Cess", "0"), row("Interest", interest.cast("string")), row("Penalty", "0"),
+    )
+    cells = o.select(k.cast("string").alias("source_file"), F.lit(1).alias("page_no"), F.lit(1).alias("table_no"), F.posexplode(F.array_compact(rows)).alias("row_no", "cells"))
+    failed = read(spark, sf_dir, "nation").select(F.concat(F.lit("lost "), F.col("n_name")).alias("source_file"))
+    out = sheets.all_returns([sheets.tds(cells, failed), None])
+    return out.select("ReturnType", "EntityID", "FY", F.col("PeriodDate").cast("string").alias("period"), "MonthIndex", "PrimaryAmount", "Flags", "Status")
+
+
+_SAME = ["a", "b", "c", "e", "f", "g"]
+
+
+@query(f"""with {_ORDERS}
+select k, {", ".join(f"d::varchar as {x}" for x in _SAME)}, {", ".join(f"date_trunc('month', d)::date::varchar as m{i}" for i in range(4))}, strftime(d, '%b-%y') as label, month(d)::int as number from o""")
+def date_fields(spark, sf_dir):
+    """The days of all orders as forms print them, read back."""
+    o, d = orders(spark, sf_dir), F.col("d")
+    shown = lambda fmt: F.date_format(d, fmt)
+    days = [D.form_date(shown("dd MMM yyyy")), D.form_date(F.concat(shown("dd/MM/yyyy"), F.lit(" 18:52:00"))), D.payment_date(shown("dd-MM-yyyy")), D.bank_date(shown("dd-MMM-yyyy")), D.filing_date(shown("yyyy-MM-dd")), D.filing_date(shown("dd/MM/yyyy"))]
+    start = F.concat(D.fiscal_start(d).cast("string"), F.lit("-"), F.lpad(F.pmod(D.fiscal_start(d) + 1, F.lit(100)).cast("string"), 2, "0"))
+    months = [D.month_and_year(F.concat(F.lit("wage "), F.upper(shown("MMM-yyyy")))), D.label_date(shown("MMM yyyy")), D.period_of(shown("MMMM"), F.year(d)), D.period_in_fiscal_year(shown("MMM"), D.fiscal_start(d))]
+    return o.select("k", *[x.cast("string").alias(n) for n, x in zip(_SAME, days, strict=True)], *[x.cast("string").alias(f"m{i}") for i, x in enumerate(months)], D.period_year(shown("MMMM"), start).alias("label"), D.month_number(F.upper(shown("MMMM"))).alias("number"))
+
+
+@query("""
+with p as (select c_custkey as k, c_mktsegment as s, abs(round(c_acctbal * 100)::bigint) as cents from customer)
+select k, s as cell, s || ' LTD' as value, 'P' || k::varchar as label, lower(s) as line, s as dealer, (k % 9999)::varchar as head, left(s, 3) as message, s || ' &lt;&amp;&quot;' as html, s || '|Col|' || s || '_2|Col_2' as headers, s || ',-,-' as fitted,
+  s || ' LTD|1 Road Town ' || k::varchar as address, '[' || (cents // 100)::varchar || '.0, 2.0, 3.5, 0.0, 0.0, 0.0]' as numbers, cents / 100.0::double as last_number, cents / 100.0::double as after, cents / 100.0::double as strict from p""")
+def text_fields(spark, sf_dir):
+    """Strings made of all customers' rows, through each of the string and number functions."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s"), F.abs(F.round(F.col("c_acctbal") * 100).cast("long")).alias("cents"))
+    k, s, whole, amount = F.col("k").cast("string"), F.col("s"), F.floor(F.col("cents") / 100), money(F.col("cents") / 100)
+    made = {
+        "cell": T.clean_cell(F.concat(F.lit("A\n  "), s, F.lit(" \n "))), "value": T.key_value(F.concat(F.lit("TAN : 1\nName : "), s, F.lit(" LTD\n")), "Name"), "label": T.after_label(F.concat(F.lit("x period: P"), k, F.lit(" ")), "Period:", 12), "line": T.label_line(F.concat(F.lit("a\nValue Date: "), F.lower(s), F.lit("\nb")), "Value Date"),
+        "dealer": T.without_courtesy(F.concat(F.lit("M/S "), s)), "head": T.head_code(F.concat(F.lit("Corporation Tax ("), (F.col("k") % 9999).cast("string"), F.lit(")"))), "message": T.cut_message(s, 3), "html": T.html_escaped(F.concat(s, F.lit(' <&"'))),
+        "headers": F.array_join(T.unique_headers(F.array(s, F.lit(""), s, F.lit(" "))), "|"), "fitted": F.array_join(T.fit(F.array(s), 3, F.lit("-")), ","), "address": F.concat_ws("|", *T.name_and_address(F.array(F.concat(s, F.lit(" LTD 2. X")), F.lit("1 Road"), F.concat(F.lit("Town "), k)))),
+        "numbers": N.numbers_on_line(F.concat(F.lit("Employee "), F.format_number(whole, 0), F.lit(" 2 x 3.5\n9")), "Employee").cast("string"), "last_number": N.last_two_numbers(F.concat(F.lit("Slab 200 74 "), amount), "Slab")[1], "after": N.amount_after(F.concat(F.lit("Total "), amount), "Total"), "strict": N.strict_number(amount),
+    }
+    return c.select("k", *[x.alias(n) for n, x in made.items()])

@@ -1,6 +1,6 @@
-"""Queries that run the parsers and functions on small documents made up by hand, with what has to come out as their oracle.
+"""The parsers and functions on small documents made up by hand, with what has to come out.
 
-Each gives rows (source, field, value), values as text; the oracle lists them, worked out by hand from the documents.
+Each gives rows (source, field, value), values as text; what is wanted is worked out by hand from the documents.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ from quillbook.operators import flags
 from quillbook.operators import geometry as G
 from quillbook.operators import ledger as L
 from quillbook.parsers import bill, forms, gst
-from quillbook.plans import facts, fixtures, pipelines, sheets
+from quillbook.plans import facts, pipelines, sheets
 from quillbook.rules import banks
 from quillbook.sources import layout
+from tests import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

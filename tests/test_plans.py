@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from quillbook.plans import catalogue, pipelines
 from quillbook.sources import layout, sinks
-from quillbook.plans.fixtures import TEXTS, batch
+from tests.fixtures import TEXTS, batch
 from tests.test_tables import CELLS
 
 SF = "/root/testdata/sf0.001"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillbook.operators import bank as B
 from quillbook.operators import geometry as G
 from quillbook.parsers import bill, gst
-from quillbook.plans import fixtures
+from tests import fixtures
 
 CELLS = "source_file string, page_no int, table_no int, row_no int, cells array<string>"
 

@@ -20,7 +20,7 @@ from quillbook.llm.common import in_small_batches, table
 from quillbook.llm.html_tree import Page, read
 
 #: Bound of the synthetic pages that the trees learn from.
-LEARN_PAGES = 700
+LEARN_PAGES = 1000
 #: Attribute tokens that tell of main text or of something else.
 GOOD = "article post entry content main story body text blog hentry page prose".split()
 BAD = "nav menu sidebar side footer foot header masthead ad ads advert advertisement sponsor sponsored banner promo cookie cookies notice consent gdpr alert comment comments respond reply disqus share social related recommended widget breadcrumb breadcrumbs newsletter subscribe signup modal popup login search form toolbar pager pagination tags tag copyright legal skip teaser outbrain taboola meta byline author rating".split()
@@ -206,6 +206,13 @@ def synthetic_page(rng: random.Random) -> str:
             return f"<pre>{body}</pre>"
         return f"<div>{body}</div>"
 
+    def holder(tag: str, names: list[str], inner: str) -> str:
+        """Main text, whose name may have a word in it that stands for something else elsewhere."""
+        odd = pick(["ad-free", "tag-news", "tags-a", "meta-full", "author-jane", "rating-5", "form-post", "search-hit", "share-on", "social", "legal-news", "side-story"])
+        if not chance(0.3):
+            return wrap(tag, names, inner, 1)
+        return wrap(tag, [pick([odd, f"{odd} {pick(names)}", f"{pick(names)} {odd}"]) if names else odd], inner, 1)
+
     blocks = [paragraph() for _ in range(max(1, int(rng.lognormvariate(1.5, 0.8))))]
     for extra in (advert, related, form, notice):
         if chance(0.12):
@@ -216,13 +223,13 @@ def synthetic_page(rng: random.Random) -> str:
     inner = title + "".join(blocks)
     style = rng.random()
     if style < 0.4:
-        main = wrap("article", ["post", "article", "hentry"] if chance(0.5) else [], inner, 1)
+        main = holder("article", ["post", "article", "hentry"] if chance(0.5) else [], inner)
         if chance(0.4):
-            main = wrap("main", ["content", "main"], main, 1)
+            main = holder("main", ["content", "main"], main)
     elif style < 0.6:
-        main = wrap("main", ["content", "main"], inner, 1)
+        main = holder("main", ["content", "main"], inner)
     elif style < 0.92:
-        main = wrap("div", ["content", "post", "entry-content", "article-body", "story", "main", "post-text"], inner, 1)
+        main = holder("div", ["content", "post", "entry-content", "article-body", "story", "main", "post-text"], inner)
     else:
         main = wrap(pick(["div", "section"]), [], inner, 1)
     before = [f() for f, p in ((header, 0.5), (nav, 0.6), (notice, 0.2), (advert, 0.4), (related, 0.15), (form, 0.1)) if chance(p)]

@@ -25,7 +25,8 @@ INLINE_NODES = frozenset("ad ads advert advertisement sponsor sponsored promo ba
 # a quoted value may hold > or, if a delimiter follows its end, anything; a quote without an end doesn't hide the tag's own >
 _VALUE = r"\"[^\"<]*\"|'[^'<]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|{_VALUE})*+(?:[\"'][^>]*)?)(?:>|$)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+# names are taken whole, and only from where they begin, so a long one without a value is looked at once
+_ATTR = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _NAME = re.compile(r"[a-z]+")
 
 

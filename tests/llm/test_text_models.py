@@ -152,6 +152,14 @@ def test_ordinary_flaws_of_pages():
     assert text_of(f'<html><body><form method="post" action="/x"><div class="menu"><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></div><div class="content"><h1>Title</h1><p>{prose}</p><p>{prose}</p></div></form></body></html>') == f"{want} {prose}"
 
 
+def test_names_of_articles_may_hold_any_word():
+    prose = " ".join(f"Word{k} of a sentence that goes on, and ends." for k in range(25))
+    for name in ("ad-free story", "tag-python post", "post author-bob", "rating-5", "form entry", "share search"):
+        for tag in ("article", "div"):
+            page = f'<html><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><{tag} class="{name}"><h1>T</h1><p>{prose}</p><p>{prose}</p></{tag}><footer><p>&copy; x</p></footer></body></html>'
+            assert text_of(page) == f"T {prose} {prose}"
+
+
 def test_reading_takes_linear_time():
     import time
 
@@ -161,7 +169,7 @@ def test_reading_takes_linear_time():
         html_tree.read(page)
         return time.perf_counter() - at
 
-    for make in (lambda n: "<div>" * n + "</span>" * n, lambda n: "<b>" * n + "<div>x" * n, lambda n: "<b>" * n + "<hr><p>" * n, lambda n: "<div><table>" + "<td><i>" * n + "</div>" * n, lambda n: "<li>x<ul>" * n, lambda n: "<p class='x>" * n):
+    for make in (lambda n: "<div>" * n + "</span>" * n, lambda n: "<b>" * n + "<div>x" * n, lambda n: "<b>" * n + "<hr><p>" * n, lambda n: "<div><table>" + "<td><i>" * n + "</div>" * n, lambda n: "<li>x<ul>" * n, lambda n: "<p class='x>" * n, lambda n: f"<p {'a' * n}>", lambda n: "<p " + "a " * n + ">", lambda n: "<p " + 'a="' * n + ">", lambda n: "<p a" + " " * n + "b>"):
         took(make, 500)
         small = min(took(make, 4000) for _ in range(2))
         assert took(make, 32_000) < 8 * 4 * small + 0.3

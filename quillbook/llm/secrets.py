@@ -113,12 +113,13 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     new = {*KINDS, "base", "spans", "weak", "confirmed"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     mark = fresh(docs, "text_md5_")
-    df = docs.withColumn("text 0", F.coalesce(F.col(text), F.lit("")))
+    whole = fresh(docs, "text_0")
+    df = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     for kind, (pattern, group, least) in (BASE | WEAK).items():
-        df = with_spans(df, "text 0", kind, pattern, group, least)
-    token = lambda s: F.substring(F.col("text 0"), s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int"))
+        df = with_spans(df, whole, kind, pattern, group, least)
+    token = lambda s: F.substring(F.col(whole), s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int"))
     mixed = F.filter("opaque", lambda s: token(s).rlike("[0-9]") & token(s).rlike("[A-Z]") & token(s).rlike("[a-z]"))
-    df = df.withColumns({"base": F.sort_array(F.concat(*BASE)), "weak": F.sort_array(F.concat("login", F.when(F.size("opaque") > 0, mixed).otherwise(F.col("opaque")), "endpoint")), mark: F.md5("text 0")})
+    df = df.withColumns({"base": F.sort_array(F.concat(*BASE)), "weak": F.sort_array(F.concat("login", F.when(F.size("opaque") > 0, mixed).otherwise(F.col("opaque")), "endpoint")), mark: F.md5(whole)})
     found = cut(df.select(*[c for c in docs.columns if c != text], mark, "base", "weak"), "secrets")
     key = [id_col, mark]  # no document meets another
     links = linked(found, key, "weak", "base")

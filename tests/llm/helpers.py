@@ -16,7 +16,7 @@ def odd(spark):
     same = " ".join(f"copy{i}" for i in range(80))
     rows = [(1, None, "en", "a"), (2, "", None, "a"), (3, long, "en", None), (4, same, "en", "a"), (5, same, "en", "b"), (5, same, "en", "b"), (None, same, None, None), (6, "   \n\t", "de", "b"), (7, "é " * 60 + "\x00\x1c<b>", "fr", "b"), (None, None, None, None), (8, "one two", "en", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    for clash in ("shard", "Slot", "id", "node", "score", "lang_pred", "Base", "spans", "length", "kept", "n_words", "row", "label"):
+    for clash in ("shard", "Slot", "id", "node", "score", "lang_pred", "Base", "spans", "length", "kept", "n_words", "row", "label", "found id", "kept id", "text_0", "node_", "kept_id_", "found_id_", "found_spans_"):
         df = df.withColumn(clash, F.lit("x"))
     return df
 

@@ -1,7 +1,9 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillbook.llm import langid
+from quillbook.llm import langid, secrets
 from tests.llm.helpers import SF, documents, empty, odd
 from tests.llm.test_duplicates import brute_classes
 from tests.llm.test_quality_secrets import base_spans
@@ -58,3 +60,16 @@ def test_pipeline_returns_the_token_ids(spark):
     rows = corpus_pipeline.best_fit_packing(spark, docs, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     assert all(len(r.ids) == r.length and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_crc32 for r in rows)
+
+
+def test_columns_of_callers_stay_as_they_are(spark):
+    names = ["found id", "kept id", "found mark", "text 0", "text_0", "kept_id_", "found_id_", "found_spans_"]
+    docs = spark.createDataFrame([(1, "password: hunter2hunter2 and " + "more words " * 30, "en"), (2, "plain words", "en")], "doc_id long, text string, lang string")
+    for n in names:
+        docs = docs.withColumn(n, F.lit("mine"))
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.secret_scan):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert all(r[n] == "mine" for r in out.collect() for n in names)
+    found = secrets.scan(docs)
+    assert all(r[n] == "mine" for r in found.collect() for n in names)

@@ -37,10 +37,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each class; of rows equal in doc_id and text, one."""
     classes = neardup.near_duplicates(docs)
     alone = F.when(F.col("class_id").isNull(), F.col("node"))
-    kept = classes.groupBy("class_id", alone.alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("k")).select(F.col("k.id").alias("kept id"), F.col("k.node").alias("kept node"))
-    node = fresh(docs, "node_")
+    kept = classes.groupBy("class_id", alone.alias("alone")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("k")).select("k.id", "k.node")
+    node, kept_id, kept_node = (fresh(docs, c) for c in ("node_", "kept_id_", "kept_node_"))
+    kept = kept.toDF(kept_id, kept_node)
     out = docs.withColumn(node, neardup.text_key(F.col("text"), F.col("doc_id")))
-    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col("kept id")) & (F.col(node) == F.col("kept node")), "left_semi")
+    out = out.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node)), "left_semi")
     return out.dropDuplicates(["doc_id", node]).select(*docs.columns)
 
 
@@ -57,12 +58,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every reported span, in every row of a text alike; n_chars, if there, follows. No row is dropped."""
     found = secrets.scan(docs.select("doc_id", "text"))
     mark = next(c for c in found.columns if c.startswith("text_md5_"))
-    found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", mark]).select(F.col("doc_id").alias("found id"), F.col(mark).alias("found mark"), F.col("spans").alias("found spans"))
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("found id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("found mark")), "left")
-    out = out.withColumn("text", F.when(F.col("found spans").isNotNull(), secrets.redacted(F.col("text"), F.col("found spans"))).otherwise(F.col("text")))
+    found = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", mark]).select("doc_id", mark, "spans")
+    found_id, found_mark, spans = (fresh(docs, c) for c in ("found_id_", "found_mark_", "found_spans_"))
+    found = found.toDF(found_id, found_mark, spans)
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(found_id)) & (F.md5(F.coalesce("text", F.lit(""))) == F.col(found_mark)), "left")
+    out = out.withColumn("text", F.when(F.col(spans).isNotNull(), secrets.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("found spans").isNotNull(), changed).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), changed).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__
 from quillbook.plans import catalogue, pipelines
 from quillbook.sources import layout, sinks
+from quillbook.sources.store import staged
 from tests.fixtures import TEXTS, batch
 from tests.test_tables import CELLS
 
@@ -49,7 +50,7 @@ def test_entry(spark):
 
 
 def test_statutory_batch(spark, tmp_path):
-    sheets = pipelines.statutory(*batch(spark))
+    sheets = pipelines.statutory(*batch(spark), keep=staged(spark, "batch"))
     ledger = {r.SourceFile: r for r in sheets["Consolidated"].collect()}
     assert len(ledger) == len(TEXTS) - 1 and ledger["TDS_Challan.pdf"].Status == "OK" and ledger["TDS_Challan.pdf"].Confidence == 90
     assert ledger["PF_Challan.pdf"].ReturnType == "PF" and ledger["PF_Payment.pdf"].FY == "2025-26"
